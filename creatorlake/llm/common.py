@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,5 +49,11 @@ def chunks(texts: list, most: int = 4_000_000):
         yield start, len(texts)
 
 
+def each_text(column: pa.Array, rows: int = 256):
+    """The texts of a column one by one, few of them held as Python strings at a time."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

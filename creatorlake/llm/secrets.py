@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from creatorlake.llm.common import written
+from creatorlake.llm.common import each_text, written
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -69,7 +69,7 @@ def secret_scan(df: DataFrame, owner: Column, repository: Column, text: str = "t
         kind = pa.list_(pa.struct([("start", pa.int64()), ("place", pa.int32()), ("end", pa.int64()), ("hash", pa.int64())]))
         for b in batches:
             cands = []
-            for t in b.column(n + 2).to_pylist():
+            for t in each_text(b.column(n + 2)):
                 base = base_spans(t) if t else []
                 more = [x for x in open_spans(t) if not any(s < x[2] and x[0] < e for s, _, e, _ in base)] if t else []
                 cands.append([{"start": s, "place": k, "end": e, "hash": xxh3_64_intdigest(v) - 2**63} for s, k, e, v in base + more])

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from creatorlake.llm.common import each_text
+
 WORD = re.compile(r"\w+|[^\w\s]")
 CACHED_WORDS, CACHED_LENGTH = 400_000, 48
 
@@ -118,7 +120,7 @@ def token_counts(df: DataFrame, initial: Iterable[str], inner: Iterable[str], te
         known = _Counts(_automaton(*pieces.value))
         for b in batches:
             words_, tokens, unknown = [], [], []
-            for t in b.column("__text").to_pylist():
+            for t in each_text(b.column("__text")):
                 words = WORD.findall(t or "")
                 both = [known[w] for w in words]
                 words_.append(len(words))
