@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from creatorlake.llm.common import chunks, free
 
 LANE = 256
-CACHED_PIECES, CACHED_LENGTH, SHORT = 300_000, 64, 100
+CACHED_PIECES, CACHED_LENGTH, SHORT = 150_000, 64, 100
 SEPARATOR = "\ud800"  # stands between the texts of a batch; valid UTF-8 never holds it
 
 # Symbols: letter, number, other, apostrophe before one letter or two letters of a contraction, space or other white
@@ -204,9 +204,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
         lengths = np.zeros(max(known.ranks.values()) + 1, np.int64)
         lengths[list(known.ranks.values())] = [len(k) for k in known.ranks]
         for b in batches:
-            texts = b.column(len(kept)).to_pylist()
-            for first, last in chunks(texts):
-                own = [t or "" for t in texts[first:last]]
+            for first, last in chunks(b.column(len(kept))):
+                own = [t or "" for t in b.column(len(kept)).slice(first, last - first).to_pylist()]
                 at = token_starts("".join(x for t in own for x in (t, SEPARATOR)))
                 ends = np.cumsum([len(t) + 1 for t in own])
                 all_ids, all_offsets, done = [], [], 0

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,16 +38,16 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def chunks(texts: list, most: int = 4_000_000):
-    """Index ranges (start, end) of texts with about `most` characters each, so that work arrays stay small."""
+def chunks(column: pa.Array, most: int = 1_000_000):
+    """Index ranges (start, end) of a text column with about `most` bytes each, so that what is made of them stays small."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
+    for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
+        size += n
         if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(column):
+        yield start, len(column)
 
 
 def each_text(column: pa.Array, rows: int = 256):
