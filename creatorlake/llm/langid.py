@@ -210,3 +210,14 @@ def fused(evidence: DataFrame, languages: list[str], trust: float = 0.9, least:
     best = F.get(F.array(*[F.lit(x) for x in languages]), (F.array_position("__post", F.col("confidence")) - 1).cast("int"))
     accepted = (F.col("confidence") >= least) & (F.col("n_grams") > 0) & ((F.col("n_grams") < few) | (F.col("fit") >= -odd * (1 + 10 / F.sqrt("n_grams"))))
     return post.withColumn("language", best).withColumn("accepted", F.coalesce(accepted, F.lit(False))).drop("__post", "prior", "host", "declared", "address", "likely", "n_grams", "fit")
+
+
+def identified(df: DataFrame, model: Model, text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of df, of all columns, whose language is accepted; the host's prior comes from df itself."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    place = {c.lower(): n for c, n in zip(df.columns, names, strict=True)}
+    nothing = F.lit(None).cast("string")
+    keep = {n: F.col(n) for n in names} | {"host": F.col(place[host.lower()]).cast("string"), "declared": nothing, "address": nothing}
+    found = fused(text_evidence(rows, model, F.col(place[text.lower()]), False, keep), model.languages)
+    return found.filter("accepted").select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from creatorlake.llm import langid
 from creatorlake.llm.byte_bpe import Vocabulary, decode, encode
 from creatorlake.llm.common import read
+from creatorlake.llm.decontamination import contamination
 from creatorlake.llm.pii import pseudonymised
 from creatorlake.llm.secrets import secret_scan
 from creatorlake.llm.sharding import placed
@@ -84,6 +85,11 @@ def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(read(spark, sf_dir, "documents"), keep=("doc_id",))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=("doc_id",))
+    return found.select("doc_id", (F.size("benchmark_hits") > 0).alias("contaminated"), "benchmark_hits")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -100,7 +106,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    both = (op1_token_counts, op2_topk_search, op3_byte_bpe, op4_secret_scan, op5_toxicity, op6_flow_sharding, op7_pii_pseudonyms, op9_simhash, op10_language_id)
+    both = (op1_token_counts, op2_topk_search, op3_byte_bpe, op4_secret_scan, op5_toxicity, op6_flow_sharding, op7_pii_pseudonyms, op8_decontamination, op9_simhash, op10_language_id)
     return {f.__name__: f for f in both}
 
 
