@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,12 @@ def normalised(text: Column) -> Column:
 
 
 def shingles(tokens: Column, n: int) -> Column:
-    """Runs of n tokens joined by one space."""
-    last = F.size(tokens) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens joined by one space. The tokens stay outside of lambdas, where they would be made anew for each run."""
+    runs = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    out = F.slice(tokens, 1, runs)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, k + 1, runs), lambda a, b: F.concat_ws(" ", a, b))
+    return out
 
 
 def phrase_count(text: Column, phrases: list[str]) -> Column:
@@ -35,9 +38,24 @@ def whole_word_count(text: Column, word: str) -> Column:
     return F.regexp_count(text, F.lit(rf"\b{word}\b")).cast("long")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(1.0)
+def vocabulary_metrics(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """unique_word_ratio, hapax_legomena_ratio and vocabulary_richness_yule_k of each text with words.
+
+    Words are counted by grouping: distinct elements of a long array would cost its length squared.
+    """
+    w = df.select(ident, F.explode(words(F.lower(text))).alias("__w")).groupBy(ident, "__w").agg(F.count(F.lit(1)).alias("__n"))
+    sums = w.groupBy(ident).agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("__n") == 1).alias("once"), F.sum(F.col("__n") * F.col("__n")).alias("squares"))
+    return sums.select(ident, (F.col("kinds") / F.col("n")).alias("unique_word_ratio"), (F.col("once") / F.col("n")).alias("hapax_legomena_ratio"), (1e4 * (F.col("squares") - F.col("n")) / (F.col("n") * F.col("n"))).alias("vocabulary_richness_yule_k"))
+
+
+def set_jaccard(left: DataFrame, right: DataFrame, ident: list[str], item: str) -> DataFrame:
+    """Jaccard of the item sets that both sides have under the same ident; 0 where they share none."""
+    a, b = left.select(*ident, item).distinct(), right.select(*ident, item).distinct()
+    both = a.join(b, [*ident, item]).groupBy(*ident).agg(F.count(F.lit(1)).alias("__i"))
+    size = lambda d, n: d.groupBy(*ident).agg(F.count(F.lit(1)).alias(n))
+    out = size(a, "__a").join(size(b, "__b"), ident).join(both, ident, "left")
+    shared = F.coalesce("__i", F.lit(0))
+    return out.select(*ident, (shared / (F.col("__a") + F.col("__b") - shared)).alias("jaccard"))
 
 
 def hash_fold(key: Column, k: int) -> Column:
@@ -67,11 +85,14 @@ def _share(w: Column, test) -> Column:
 FIRST_PERSON, SECOND_PERSON = ("i", "me", "my", "we", "our"), ("you", "your", "yours")
 
 
-def transcript_metrics(text: Column, duration: Column) -> dict[str, Column]:
-    """Columns by metric name."""
-    w = words(text)
-    low = words(F.lower(text))
-    n = F.size(w)
+def with_words(df: DataFrame, text: str, w: str = "__w") -> DataFrame:
+    """df with its words as a column: many metrics read it, so it is made once, below them."""
+    return df.withColumn(w, words(F.col(text)))
+
+
+def transcript_metrics(text: Column, w: Column, duration: Column) -> dict[str, Column]:
+    """Columns by metric name; w from with_words."""
+    low, n = F.transform(w, F.lower), F.size(w)
     marks = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
     return {
         "transcript_word_count": n.cast("long"),
@@ -82,7 +103,6 @@ def transcript_metrics(text: Column, duration: Column) -> dict[str, Column]:
         "exclamation_count": marks("!").cast("long"),
         "sentence_count": F.regexp_count(text, F.lit("[.!?]")).cast("long"),
         "avg_word_length": mean_length(w),
-        "unique_word_ratio": F.when(n > 0, F.size(F.array_distinct(low)) / n),
         "uppercase_word_ratio": _share(w, lambda x: (F.length(x) >= 2) & (x == F.upper(x)) & (x != F.lower(x))),
         "short_word_ratio": _share(w, lambda x: F.length(x) <= 3),
         "long_word_ratio": _share(w, lambda x: F.length(x) >= 8),
@@ -91,8 +111,7 @@ def transcript_metrics(text: Column, duration: Column) -> dict[str, Column]:
     }
 
 
-def title_metrics(title: Column) -> dict[str, Column]:
-    w = words(title)
+def title_metrics(title: Column, w: Column) -> dict[str, Column]:
     return {
         "title_char_count": F.length(title).cast("long"),
         "title_word_count": F.size(w).cast("long"),

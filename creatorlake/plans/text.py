@@ -14,14 +14,14 @@ W, LOW = WORDS.format(t="text"), WORDS.format(t="lower(text)")
 @query(f"""WITH d AS (SELECT doc_id, text, n_chars / 15.0 AS dur, {W} AS w, {LOW} AS l FROM documents)
 SELECT doc_id, len(w) AS transcript_word_count, length(text) AS transcript_char_count, len(regexp_extract_all(text, '[0-9]+')) AS transcript_number_count, round(len(w) / dur, 6) AS speech_rate_wps,
   length(text) - length(replace(text, '?', '')) AS question_count, length(text) - length(replace(text, '!', '')) AS exclamation_count, len(regexp_extract_all(text, '[.!?]')) AS sentence_count,
-  round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) AS avg_word_length, round(len(list_distinct(l)) / len(w), 6) AS unique_word_ratio,
+  round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) AS avg_word_length,
   round(len(list_filter(w, lambda x: length(x) >= 2 AND x = upper(x) AND x <> lower(x))) / len(w), 6) AS uppercase_word_ratio,
   round(len(list_filter(w, lambda x: length(x) <= 3)) / len(w), 6) AS short_word_ratio, round(len(list_filter(w, lambda x: length(x) >= 8)) / len(w), 6) AS long_word_ratio,
   round(len(list_filter(l, lambda x: x IN ('i', 'me', 'my', 'we', 'our'))) / len(w), 6) AS first_person_ratio, round(len(list_filter(l, lambda x: x IN ('you', 'your', 'yours'))) / len(w), 6) AS second_person_ratio FROM d""")
 def h_transcript_metrics(table):
-    found = T.transcript_metrics(F.col("text"), F.col("n_chars") / 15.0)
+    found = T.transcript_metrics(F.col("text"), F.col("__w"), F.col("n_chars") / 15.0)
     ratio = lambda n, c: F.round(c, 6).alias(n) if n.endswith(("ratio", "wps", "length")) else c.alias(n)
-    return table("documents").select("doc_id", *[ratio(n, c) for n, c in found.items()])
+    return T.with_words(table("documents"), "text").select("doc_id", *[ratio(n, c) for n, c in found.items()])
 
 
 TITLE = "SELECT conv_id, turn, string_split(text, chr(10))[1] AS title FROM conversations"
@@ -32,10 +32,10 @@ SELECT conv_id, turn, length(title) AS title_char_count, len(w) AS title_word_co
   len(list_filter(w, lambda x: length(x) >= 2 AND x = upper(x) AND x <> lower(x))) AS title_all_caps_word_count, round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) AS title_avg_word_length,
   len(list_filter(w, lambda x: length(x) > 6)) AS title_uniqueness_score, round(length(title) / len(w), 6) AS title_compression_ratio FROM d""")
 def h_title_metrics(table):
-    found = T.title_metrics(F.col("title"))
+    found = T.title_metrics(F.col("title"), F.col("__w"))
     ratio = lambda n, c: F.round(c, 6).alias(n) if n.endswith(("ratio", "length")) else c.alias(n)
     titles = table("conversations").withColumn("title", F.get(F.split("text", "\n"), F.lit(0)))
-    return titles.select("conv_id", "turn", *[ratio(n, c) for n, c in found.items()])
+    return T.with_words(titles, "title").select("conv_id", "turn", *[ratio(n, c) for n, c in found.items()])
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS h FROM documents")
@@ -82,14 +82,20 @@ def h13_edit_similarity(table):
     return s.join(p, s["s_suppkey"] == p["p_partkey"]).select("s_suppkey", "p_partkey", F.round(edit_similarity(F.col("s_name"), F.col("p_name")), 6).alias("similarity"))
 
 
-TURNS = f"WITH t AS (SELECT conv_id, turn, {LOW} AS w FROM conversations), s AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t)"
+@query(f"WITH d AS (SELECT doc_id, unnest({LOW}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM d GROUP BY 1, 2) SELECT doc_id, round(count(*) / sum(n), 6) AS unique_word_ratio, round(count(*) FILTER (n = 1) / sum(n), 6) AS hapax_legomena_ratio, round(1e4 * (sum(n * n) - sum(n)) / (sum(n) * sum(n)), 6) AS vocabulary_richness_yule_k FROM c GROUP BY doc_id")
+def h_vocabulary_metrics(table):
+    v = T.vocabulary_metrics(table("documents"), "doc_id", "text")
+    return v.select("doc_id", *[F.round(c, 6).alias(c) for c in v.columns[1:]])
 
 
-@query(TURNS + " SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(list_concat(a.s, b.s))) > 0 THEN len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) ELSE 1 END, 6) AS jaccard FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+TURNS = f"WITH t AS (SELECT conv_id, turn, {LOW} AS w FROM conversations), s AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t WHERE len(w) > 2)"
+
+
+@query(TURNS + " SELECT a.conv_id, a.turn, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
 def h14_trigram_jaccard(table):
-    s = table("conversations").select("conv_id", "turn", F.array_distinct(T.shingles(T.words(F.lower("text")), 3)).alias("s"))
-    nxt = s.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("s").alias("t"))
-    return s.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"))
+    s = table("conversations").select("conv_id", "turn", F.explode(T.shingles(T.words(F.lower("text")), 3)).alias("s"))
+    found = T.set_jaccard(s, s.withColumn("turn", F.col("turn") - 1), ["conv_id", "turn"], "s")
+    return found.select("conv_id", "turn", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("SELECT doc_id, (('0x' || substr(sha256(doc_id::VARCHAR), 1, 2))::INT % 5)::INT AS fold FROM documents")
