@@ -48,7 +48,7 @@ def d15_source_prediction_summary(table):
     return p.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.avg(e), 4).alias("bias"))
 
 
-@query(f"WITH {VIDEOS_SQL} SELECT floor(date_diff('day', published, TIMESTAMP '2000-01-01') / 365.0)::INT AS cohort, count(*) AS n, round(avg(views), 4) AS mean, round(corr(quantity, views), 6) AS r FROM videos GROUP BY 1")
+@query(f"WITH {VIDEOS_SQL} SELECT floor(date_diff('day', published, TIMESTAMP '2000-01-01') / 365.0)::INT AS cohort, count(*) AS n, round(avg(views), 4) AS mean, CASE WHEN count(*) > 1 THEN round(corr(quantity, views), 6) END AS r FROM videos GROUP BY 1")
 def d16_age_cohorts(table):
     cohort = F.floor(F.datediff(F.to_date(F.lit("2000-01-01")), "published") / 365).cast("int")
     return videos(table).groupBy(cohort.alias("cohort")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("views"), 4).alias("mean"), F.round(F.corr("quantity", "views"), 6).alias("r"))
