@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from creatorlake.operators.statistics import corr
 from creatorlake.operators.windows import with_average_rank
 
 
@@ -34,19 +35,19 @@ def bucket_curve(df: DataFrame, k: int, by: list[str] = ["metric"]) -> DataFrame
     """For each metric: share of steps of the same sign as the whole, the span of bucket means, and r of bucket and mean."""
     means = buckets(df, k, by).groupBy(*by, "bucket").agg(F.avg("target").alias("m"))
     step = F.lead("m").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("m")
-    a = means.withColumn("step", step).groupBy(*by).agg(F.count_if(F.col("step") > 0).alias("ups"), F.count_if(F.col("step") < 0).alias("downs"), (F.max("m") - F.min("m")).alias("span"), F.corr("bucket", "m").alias("bucket_r"))
+    a = means.withColumn("step", step).groupBy(*by).agg(F.count_if(F.col("step") > 0).alias("ups"), F.count_if(F.col("step") < 0).alias("downs"), (F.max("m") - F.min("m")).alias("span"), corr("bucket", "m").alias("bucket_r"))
     return a.select(*by, (F.greatest("ups", "downs") / (k - 1)).alias("monotone"), "span", "bucket_r")
 
 
 def halves(df: DataFrame) -> DataFrame:
     """r in the lower and upper half of each metric."""
     b = buckets(df, 2)
-    return b.groupBy("metric").agg(*[F.corr(F.when(F.col("bucket") == i, F.col("value")), F.when(F.col("bucket") == i, F.col("target"))).alias(n) for i, n in enumerate(("r_low", "r_high"))])
+    return b.groupBy("metric").agg(*[corr(F.when(F.col("bucket") == i, F.col("value")), F.when(F.col("bucket") == i, F.col("target"))).alias(n) for i, n in enumerate(("r_low", "r_high"))])
 
 
 def quarter_steps(df: DataFrame) -> DataFrame:
     """r in each quarter of each metric and the largest change from one to the next."""
-    r = buckets(df, 4).groupBy("metric", "bucket").agg(F.corr("value", "target").alias("r"))
+    r = buckets(df, 4).groupBy("metric", "bucket").agg(corr("value", "target").alias("r"))
     step = r.withColumn("step", F.col("r") - F.lag("r").over(Window.partitionBy("metric").orderBy("bucket")))
     return step.groupBy("metric").agg(F.max_by("bucket", F.abs("step")).alias("at_bucket"), F.max(F.abs("step")).alias("largest_step"))
 
@@ -63,45 +64,45 @@ def pairs(df: DataFrame) -> DataFrame:
 
 
 def pair_correlation(df: DataFrame) -> DataFrame:
-    return pairs(df).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("va", "vb").alias("r"))
+    return pairs(df).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), corr("va", "vb").alias("r"))
 
 
 def conditional_delta(df: DataFrame) -> DataFrame:
     """r of a and the target where b is above its median, minus r where it is not."""
     p = pairs(df)
     mid = df.groupBy(F.col("metric").alias("b")).agg(F.percentile("value", 0.5).alias("mid"))
-    r = lambda hit: F.corr(F.when(hit, F.col("va")), F.when(hit, F.col("target")))
+    r = lambda hit: corr(F.when(hit, F.col("va")), F.when(hit, F.col("target")))
     high = F.col("vb") > F.col("mid")
     return p.join(mid, "b").groupBy("a", "b").agg((r(high) - r(~high)).alias("delta"))
 
 
 def synergy(df: DataFrame) -> DataFrame:
     """R2 of the target on both metrics minus the sum of their own r2."""
-    c = pairs(df).groupBy("a", "b").agg(F.corr("va", "target").alias("ra"), F.corr("vb", "target").alias("rb"), F.corr("va", "vb").alias("rab"))
+    c = pairs(df).groupBy("a", "b").agg(corr("va", "target").alias("ra"), corr("vb", "target").alias("rb"), corr("va", "vb").alias("rab"))
     both = (F.col("ra") ** 2 + F.col("rb") ** 2 - 2 * F.col("ra") * F.col("rb") * F.col("rab")) / (1 - F.col("rab") ** 2)
     return c.select("a", "b", (both - F.col("ra") ** 2 - F.col("rb") ** 2).alias("synergy"))
 
 
 def product_correlation(df: DataFrame) -> DataFrame:
     """r of the product of two metrics with the target."""
-    return pairs(df).groupBy("a", "b").agg(F.corr(F.col("va") * F.col("vb"), "target").alias("r_product"))
+    return pairs(df).groupBy("a", "b").agg(corr(F.col("va") * F.col("vb"), "target").alias("r_product"))
 
 
 def triple_correlation(df: DataFrame) -> DataFrame:
     c = df.select("video_id", F.col("metric").alias("c"), F.col("value").alias("vc"))
-    return pairs(df).join(c, "video_id").filter("b < c").groupBy("a", "b", "c").agg(F.corr(F.col("va") * F.col("vb") * F.col("vc"), "target").alias("r_product"))
+    return pairs(df).join(c, "video_id").filter("b < c").groupBy("a", "b", "c").agg(corr(F.col("va") * F.col("vb") * F.col("vc"), "target").alias("r_product"))
 
 
 def residual_pair(df: DataFrame) -> DataFrame:
     """r of b with what a leaves of the target, from sums alone."""
-    c = pairs(df).groupBy("a", "b").agg(F.corr("va", "target").alias("ra"), F.corr("vb", "target").alias("rb"), F.corr("va", "vb").alias("rab"))
+    c = pairs(df).groupBy("a", "b").agg(corr("va", "target").alias("ra"), corr("vb", "target").alias("rb"), corr("va", "vb").alias("rab"))
     return c.select("a", "b", ((F.col("rb") - F.col("ra") * F.col("rab")) / F.sqrt(1 - F.col("ra") ** 2)).alias("r_residual"))
 
 
 def rank_pair(df: DataFrame) -> DataFrame:
     """Spearman of a pair of metrics; ranks are made once for each metric."""
     r = with_average_rank(df, "value", "metric", name="rv").select("video_id", "metric", F.col("rv").alias("value"), "target")
-    return pairs(r).groupBy("a", "b").agg(F.corr("va", "vb").alias("rho"))
+    return pairs(r).groupBy("a", "b").agg(corr("va", "vb").alias("rho"))
 
 
 def strength(r: Column) -> Column:

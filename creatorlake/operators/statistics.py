@@ -14,9 +14,16 @@ def finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
 
 
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation of the rows where both are known; null, not an error, where either is constant."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def pearson(df: DataFrame, by: list[str], x: str = "value", y: str = "target", least: int = 3) -> DataFrame:
     """r, n and the Fisher interval for each group; all but n are null below `least` rows."""
-    sums = df.filter(finite(x) & finite(y)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
+    sums = df.filter(finite(x) & finite(y)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), corr(x, y).alias("r"))
     z, half = F.atanh("r"), Z95 / F.sqrt(F.col("n") - 3)
     enough = (F.col("n") >= least) & (F.col("n") > 3) & (F.abs("r") < 1)
     return sums.select(*by, "n", F.when(F.col("n") >= least, F.col("r")).alias("r"), F.when(enough, F.tanh(z - half)).alias("low"), F.when(enough, F.tanh(z + half)).alias("high"))
@@ -25,11 +32,11 @@ def pearson(df: DataFrame, by: list[str], x: str = "value", y: str = "target", l
 def spearman(df: DataFrame, by: list[str], x: str = "value", y: str = "target") -> DataFrame:
     """rho of tie-averaged ranks for each group."""
     ranked = with_average_rank(with_average_rank(df.filter(finite(x) & finite(y)).select(*by, x, y), x, *by, name="__rx"), y, *by, name="__ry")
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("rho"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), corr("__rx", "__ry").alias("rho"))
 
 
 def line(df: DataFrame, by: list[str], x: str = "value", y: str = "target") -> DataFrame:
-    return df.filter(finite(x) & finite(y)).groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"))
+    return df.filter(finite(x) & finite(y)).groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), corr(x, y).alias("r"))
 
 
 def normal_p(z: Column) -> Column:

@@ -94,10 +94,10 @@ def i9_hazard_baseline(table):
     return curves(table).select(F.posexplode(steps).alias("i", "h")).groupBy("i").agg(F.round(F.avg("h"), 6).alias("hazard"))
 
 
-@query(f"WITH {CURVES_SQL}, m AS (SELECT i, avg(v) AS m FROM pts GROUP BY i) SELECT i, round(sum(m) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 5) AS remaining FROM m")
+@query(f"WITH {CURVES_SQL}, m AS (SELECT i, avg(v) AS m FROM pts GROUP BY i) SELECT i, round(sum(m) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 9) AS remaining FROM m")
 def i10_watch_time_priority(table):
     m = curves(table).select(F.posexplode("c").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
-    return m.select("i", F.round(F.sum("m").over(Window.orderBy("i").rowsBetween(Window.currentRow, Window.unboundedFollowing)), 5).alias("remaining"))
+    return m.select("i", F.round(F.sum("m").over(Window.orderBy("i").rowsBetween(Window.currentRow, Window.unboundedFollowing)), 9).alias("remaining"))
 
 
 @query("SELECT o_orderkey, round(100 * exp(ln(greatest(o_totalprice / 10000, 1e-4) / 100) / greatest(o_orderkey % 60, 1e-4)), 9) AS rate FROM orders")
