@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from creatorlake.llm.common import chunks, free
+from creatorlake.llm.common import chunks, free, sliced
 
 LANE = 256
 CACHED_PIECES, CACHED_LENGTH, SHORT = 150_000, 64, 100
@@ -232,7 +232,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {i: k for k, i in vocabulary.sent.value.items()}
-        for b in batches:
+        for b in sliced(batches):
             lists = b.column(len(kept))
             values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             out = [b"".join(map(tokens.__getitem__, values[s:e].tolist())) for s, e in zip(ends[:-1], ends[1:], strict=True)]

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+try:
+    LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: nothing to trim with
+    LIBC = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
     conf = spark.sparkContext.getConf()
@@ -50,6 +58,21 @@ def chunks(column: pa.Array, most: int = 1_000_000):
         yield start, len(column)
 
 
+def _trim() -> None:
+    """Give freed memory back, so that workers that stay alive between stages stay small."""
+    pa.default_memory_pool().release_unused()
+    if LIBC is not None:
+        LIBC.malloc_trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of one stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+        _trim()
+
+
 def each_text(column: pa.Array, rows: int = 256):
     """The texts of a column one by one, few of them held as Python strings at a time."""
     for i in range(0, len(column), rows):

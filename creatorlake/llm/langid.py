@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creatorlake.llm.common import each_text, written
+from creatorlake.llm.common import each_text, sliced, written
 
 BUCKETS = 1 << 18
 TAG = re.compile(r"(?s)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+MOST_OF_A_TEXT = 4
 PIECE = 1_000_000  # characters of a very long text that are looked at together
 SEEN = 2_000  # n-grams after which further ones don't make the text's evidence weigh more
 
@@ -32,8 +33,8 @@ class Model:
 
     languages: list[str]
     logs: np.ndarray
-    usual: np.ndarray  # mean log-probability of each language's own training texts
-    spread: np.ndarray  # and its deviation over them
+    usual: np.ndarray  # median of the mean log-probability of each language's own training texts
+    spread: np.ndarray  # and its deviation over them, from the lowest tenth
 
 
 def grams(text: str) -> np.ndarray:
@@ -56,12 +57,12 @@ def fit(labelled: DataFrame, text: str, language: str, most_rows: int = 4_000, s
     """Train on at most about most_rows labelled rows of each language, the ones with the smallest hashes.
 
     The bound keeps training cheap and the counts small; more rows hardly change the model. Languages are those of
-    the labels. Each task sends one count for each language and bucket.
+    the labels. Each task sends one count for each language and bucket. Without labelled rows the only language is und.
     """
     sizes = labelled.filter(F.col(language).isNotNull() & (F.length(text) > 0)).groupBy(language).count().collect()
     share = {r[0]: min(1.0, most_rows / r[1]) for r in sizes}
-    if not share:
-        raise ValueError("no labelled text to train on")
+    if not share:  # nothing to learn from: one language of which nothing is known
+        return Model(["und"], np.zeros((1, BUCKETS), np.float32), np.zeros(1), np.ones(1))
     names = sorted(share)
     keep = F.lit(False)
     for name in names:
@@ -72,7 +73,10 @@ def fit(labelled: DataFrame, text: str, language: str, most_rows: int = 4_000, s
         for b in batches:
             for name in set(b.column(0).to_pylist()):
                 ids = [grams(t) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if k == name]
-                n = np.bincount(np.concatenate(ids), minlength=BUCKETS)
+                n = np.zeros(BUCKETS, np.int64)
+                for g in ids:  # a text counts MOST_OF_A_TEXT times for an n-gram at most, so that one odd text can't teach much
+                    at, times = np.unique(g, return_counts=True)
+                    n[at] += np.minimum(times, MOST_OF_A_TEXT)
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["l", "g", "n"])
 
@@ -89,8 +93,8 @@ def fit(labelled: DataFrame, text: str, language: str, most_rows: int = 4_000, s
             score = [float(sent.value.logs[sent.value.languages.index(k), g].mean()) if len(g) else None for k, g in zip(b.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], names=["l", "s"])
 
-    for r in sample.filter(F.length("t") >= 200).mapInArrow(own, "l string, s double").groupBy("l").agg(F.mean("s").alias("m"), F.stddev_pop("s").alias("d")).collect():
-        model.usual[names.index(r.l)], model.spread[names.index(r.l)] = r.m, max(r.d or 0.0, 0.05)
+    for r in sample.filter(F.length("t") >= 200).mapInArrow(own, "l string, s double").groupBy("l").agg(F.percentile("s", F.array(F.lit(0.1), F.lit(0.5))).alias("q")).collect():
+        model.usual[names.index(r.l)], model.spread[names.index(r.l)] = r.q[1], max((r.q[1] - r.q[0]) / 1.2816, 0.05)
     return model
 
 
@@ -99,23 +103,24 @@ def plain(html: str) -> str:
     return TAG.sub(" ", html)
 
 
-def text_evidence(df: DataFrame, model: Model, text: Column, markup: bool, keep: dict[str, Column]) -> DataFrame:
+def text_evidence(df: DataFrame, model: Model, text: Column, markup: bool, keep: dict[str, Column], text_in: str | None = None) -> DataFrame:
     """The columns in keep, likely (array<double>: log-likelihood for each language, of SEEN n-grams at most by mean), n_grams and fit.
 
-    fit tells how far the text's mean lies from what its best language is used to, in deviations.
+    text_in: the column of keep that is the text, if one is, so that it isn't sent twice. fit tells how far the text's mean lies from what its best language is used to, in deviations.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*[c.alias(k) for k, c in keep.items()], text.cast("string").alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("likely", T.ArrayType(T.DoubleType())), T.StructField("n_grams", T.LongType()), T.StructField("fit", T.DoubleType())])
+    rows = df.select(*[c.alias(k) for k, c in keep.items()], *([] if text_in else [text.cast("string").alias("__text")]))
+    place = list(keep).index(text_in) if text_in else len(keep)
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("likely", T.ArrayType(T.DoubleType())), T.StructField("n_grams", T.LongType()), T.StructField("fit", T.DoubleType())])
 
     n_kept = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         table = np.ascontiguousarray(m.logs.T)
-        for b in batches:
+        for b in sliced(batches):
             likely, sizes, fits = [], [], []
-            for t in each_text(b.column(n_kept)):
+            for t in each_text(b.column(place)):
                 t = plain(t) if markup and t else t or ""
                 total, n = np.zeros(len(m.languages)), 0
                 for i in range(0, len(t), PIECE):
@@ -193,8 +198,8 @@ def fused(evidence: DataFrame, languages: list[str], trust: float = 0.9, least:
     the other evidence.
     """
     evidence = written(evidence.withColumn("host", F.coalesce("host", F.lit(""))), "evidence")
-    priors = host_priors(evidence, languages)
-    # hosts are many fewer than rows, but nothing bounds them: the join is left to Spark
+    # a written table has a known size: Spark sends it to all tasks if it is small, and else deals out both sides
+    priors = written(host_priors(evidence, languages), "priors")
     joined = evidence.join(priors, "host", "left")
     other = (1 - trust) / max(1, len(languages) - 1)
 
@@ -219,5 +224,5 @@ def identified(df: DataFrame, model: Model, text: str = "text", host: str = "sou
     place = {c.lower(): n for c, n in zip(df.columns, names, strict=True)}
     nothing = F.lit(None).cast("string")
     keep = {n: F.col(n) for n in names} | {"host": F.col(place[host.lower()]).cast("string"), "declared": nothing, "address": nothing}
-    found = fused(text_evidence(rows, model, F.col(place[text.lower()]), False, keep), model.languages)
+    found = fused(text_evidence(rows, model, F.col(place[text.lower()]), False, keep, place[text.lower()]), model.languages)
     return found.filter("accepted").select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])

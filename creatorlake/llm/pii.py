@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from creatorlake.llm.common import each_text, free
+from creatorlake.llm.common import each_text, free, sliced
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -201,7 +201,7 @@ def pseudonymised(df: DataFrame, key: bytes = b"creatorlake", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
+        for b in sliced(batches):
             both = [(None, []) if t is None else pseudonymise(t, key, known) for t in each_text(b.column(place))]
             columns = [b.column(i) for i in range(len(order))]
             columns[place] = pa.array([x for x, _ in both], pa.string())

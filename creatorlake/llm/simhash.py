@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from creatorlake.llm.common import each_text, written
+from creatorlake.llm.common import each_text, sliced, written
 from creatorlake.llm.components import components
 
 SEED = 42
@@ -74,15 +74,17 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 def fingerprints(df: DataFrame, text: str, words: int, width: int, keep: list[str]) -> DataFrame:
     """The columns in keep and g0, g1, ...: the Gray rank of each 64 bits of the fingerprint, as a signed long."""
+    inside = text in keep and df.schema[text].dataType == T.StringType()
+    place = keep.index(text) if inside else len(keep)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(f"g{k}", T.LongType()) for k in range(width)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            prints = [fingerprint(t, words, width) for t in each_text(b.column(len(keep)))]
+        for b in sliced(batches):
+            prints = [fingerprint(t, words, width) for t in each_text(b.column(place))]
             ranks = gray_rank(np.array(prints, np.uint64).reshape(-1, width)).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(ranks[:, k]) for k in range(width)], names=schema.names)
 
-    return df.select(*keep, df[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, *([] if inside else [df[text].cast("string").alias("__text")])).mapInArrow(run, schema)
 
 
 def exact_masks(limit: int, bits: int = 64, blocks: int | None = None) -> list[int]:
