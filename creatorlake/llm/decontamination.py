@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creatorlake.llm.common import each_text, free
+from creatorlake.llm.common import each_text, free, sliced
 
 BLOCK = 16  # words; a window is two blocks
 SKETCH_ROWS, DIMENSIONS, TERM_SLOTS = 128, 64, 1 << 15
@@ -107,12 +107,12 @@ def items_of(benchmark: DataFrame, item: str, text: str, answer: str | None, blo
     return Items([k[0] for k in kept], [k[1] for k in kept], [k[2] for k in kept], slots, max(1, min(len(terms), TERM_SLOTS)), counts)
 
 
-def fitted(docs: DataFrame, text: str, items: Items, common: float = 0.1) -> Space:
+def fitted(docs: DataFrame, text: str, items: Items) -> Space:
     """The latent space of all passages of docs and of the items, those weighted to count as much as the documents.
 
     Every task sends at most SKETCH_ROWS + 1 numbers for each slot, added up before the shuffle; the driver gets that many in all.
-    Terms in more than `common` of the passages have no weight; the others that of their squared inverse frequency, which
-    tells windows that share an item's rare words from those that share the frequent ones.
+    A term's weight is its squared inverse frequency, which tells windows that share an item's rare words from those that
+    share the frequent ones; no weight is zero, so an item that very many documents hold is found like any other.
     """
     sent = docs.sparkSession.sparkContext.broadcast((items.slots, items.n_slots))
 
@@ -148,7 +148,7 @@ def fitted(docs: DataFrame, text: str, items: Items, common: float = 0.1) -> Spa
     table = docs.select(F.col(text).cast("string")).mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     total[table.column("cell").to_numpy()] = table.column("value").to_numpy()
     sums, seen, passages = total[:-1].reshape(-1, n)[:SKETCH_ROWS], total[:-1].reshape(-1, n)[SKETCH_ROWS], max(1.0, total[-1])
-    rare = np.where(seen <= common * passages, np.log((passages + 1) / (seen + 1)) ** 2, 0.0)
+    rare = np.log(1 + passages / (seen + 1)) ** 2
     own = np.zeros((len(items.ids), n))
     for i, words in enumerate(items.words):
         slot, times = np.unique([items.slots[w] for w in words], return_counts=True)
@@ -256,7 +256,7 @@ def _scan(df: DataFrame, text: str, found: str, items: Items, space: Space, near
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = sent.value
         slots, rarest = Slots(own.slots), rarest_slots(own, at, likely)
-        for b in batches:
+        for b in sliced(batches):
             new = [[dict(zip(("item_id", "cosine", "shared"), h, strict=True)) for h in matches(tokens_of(t), own, slots, at, rarest, near, sure, likely)] for t in each_text(b.column(place))]
             old = b.column(len(schema) - 1).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x + y for x, y in zip(old, new, strict=True)], kind)], names=schema.names)
