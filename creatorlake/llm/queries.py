@@ -62,9 +62,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    ours = labels.filter("toxic is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    grammar = learn(docs.select("doc_id", "text").join(ours, "doc_id"))
-    scored = toxicity(docs, grammar)
+    ours = labels.filter(~held_out(F.col("doc_id")))
+    scored = toxicity(docs, learn(docs, ours))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), *[c for c in scored.columns if c.startswith("m_")])
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creatorlake.llm.common import each_text
+from creatorlake.llm.common import each_text, sliced, written
 
 TOKEN = re.compile(r"[^\W\d_]+|[.?;:\n]")
 INSULT, THREAT, TARGET, NEGATION, REPORT = "insult", "threat", "target", "negation", "report"
@@ -126,13 +126,19 @@ def held_out(ident: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(ident.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _sample(labelled: DataFrame, label: str, most: int) -> DataFrame:
-    """At most about `most` rows of each label, by hash of their text, so that copies are in or out together."""
-    sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect() if r[0] in (0, 1)}
+def sampled(docs: DataFrame, labels: DataFrame, ident: str, text: str, label: str, most: int) -> DataFrame:
+    """(text, y) of at most about `most` labelled rows of each label, by hash of their ident; equal texts count once.
+
+    The labels are thinned out first, so at most about 2 * most of them are sent to the documents and no text is
+    moved but theirs. The sample is a written table.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(ident).isNotNull())
     keep = F.lit(False)
-    for k, n in sizes.items():
-        keep = keep | ((F.col(label) == k) & (F.pmod(F.xxhash64("text", F.lit(7)), F.lit(10**6)) < int(10**6 * min(1.0, most / n))))
-    return labelled.filter(keep)
+    for k, n in known.groupBy(label).count().collect():
+        keep = keep | ((F.col(label) == k) & (F.pmod(F.xxhash64(ident, F.lit(7)), F.lit(10**6)) < int(10**6 * min(1.0, most / n))))
+    chosen = known.filter(keep).groupBy(ident).agg(F.max(label).cast("int").alias("y"))
+    rows = docs.select(ident, F.col(text).cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), ident)
+    return written(rows.select("text", "y").dropDuplicates(), "labelled")
 
 
 def _cover(found: dict[str, np.ndarray], cost: dict[str, float], n: int, least: float, times: int, most: int) -> list[str]:
@@ -150,15 +156,15 @@ def _cover(found: dict[str, np.ndarray], cost: dict[str, float], n: int, least:
     return chosen
 
 
-def learn(labelled: DataFrame, label: str = "toxic", most_rows: int = 4_000, most_stems: int = 400) -> Grammar:
-    """A grammar from (text, label) rows: at most about most_rows rows of each label are used, so what the driver gets is bounded.
+def learn(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 4_000, most_stems: int = 400) -> Grammar:
+    """A grammar from labelled documents: at most about most_rows rows of each label are used, so what the driver gets is bounded.
 
     Stems are word beginnings and whole words that toxic texts share and others hardly have; equal texts count once.
     Weights are those of a logistic regression held near the starting weights.
     """
     grammar = start_grammar()
-    sample = _sample(labelled.select("text", label).filter(F.col("text").isNotNull()), label, most_rows).dropDuplicates(["text", label])
-    texts = [(r[0], int(r[1])) for r in sample.filter(F.col(label) == 1).collect()]
+    sample = sampled(docs, labels, ident, text, label, most_rows)
+    texts = [r[0] for r in sample.filter("y = 1").select("text").collect()]
     if texts:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -168,25 +174,25 @@ def learn(labelled: DataFrame, label: str = "toxic", most_rows: int = 4_000, mos
             both = sorted(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string())] + [pa.array([counts[y][s] for s in both], pa.int64()) for y in (0, 1)], names=["stem", "n0", "n1"])
 
-        clean = sample.filter(F.col(label) == 0).count()
+        clean = sample.filter("y = 0").count()
         least = max(3.0, 0.02 * len(texts))
-        counted = sample.select("text", F.col(label).cast("int")).mapInArrow(run, "stem string, n0 long, n1 long").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        counted = sample.mapInArrow(run, "stem string, n0 long, n1 long").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         rate = F.col("n0") / max(1, clean) * len(texts)  # clean texts with the stem, if there were as many as toxic ones
         good = counted.filter((F.col("n1") >= least) & (F.col("n1") >= RARER * rate)).orderBy(F.desc(F.col("n1") - rate), "stem").limit(5_000).collect()
-        sets = [_stems_of(t) for t, _ in texts]
+        sets = [_stems_of(t) for t in texts]
         found = {r.stem: np.array([i for i, s in enumerate(sets) if r.stem in s]) for r in good}
         cost = {r.stem: PRICE * r.n0 / max(1, clean) * len(texts) for r in good}
         chosen = _cover(found, cost, len(texts), least, 3, most_stems)
         ratio = {r.stem: log((r.n1 + 0.5) / (len(texts) + 1)) - log((r.n0 + 0.5) / (clean + 1)) for r in good}
         grammar.stems |= {s: max(0.2, ratio[s] / 4) for s in chosen}
-        sent = labelled.sparkSession.sparkContext.broadcast(grammar)
+        sent = docs.sparkSession.sparkContext.broadcast(grammar)
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machine = Machine(sent.value)
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array([machine.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
 
-        table = sample.select("text", F.col(label).cast("int").alias("y")).mapInArrow(rows, "y int, x array<double>").toPandas()
+        table = sample.mapInArrow(rows, "y int, x array<double>").toPandas()
         grammar.weights = _fitted(np.array(table["x"].tolist()), table["y"].to_numpy(float), np.array([START, *MATCHES.values()]))
     return grammar
 
@@ -216,7 +222,7 @@ def toxicity(df: DataFrame, grammar: Grammar, text: str = "text", keep: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, w = Machine(sent.value), np.array(sent.value.weights)
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([machine.features(t) for t in each_text(b.column(len(keep)))]).reshape(-1, len(MATCHES))
             score = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(score), *(pa.array(c) for c in x.T.copy())], names=schema.names)
