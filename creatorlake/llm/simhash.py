@@ -11,35 +11,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
 
 from creatorlake.llm.common import each_text, sliced, written
 from creatorlake.llm.components import components
+from creatorlake.llm.near_copies import one_of_each  # noqa: F401
+from creatorlake.llm.shingles import shingle_hashes
 
-SEED = 42
 LEAF, FANOUT, PAIRS = 32, 8, 2048
 MIXERS = (0x0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F)
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """XXH64 of each run of `words` words, repeats included; of the whole sequence if there are fewer; none without words."""
-    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(own) <= words:
-        return np.array([xxh64_intdigest(b" ".join(own), SEED)] if own else [], np.uint64)
-    joined = b" ".join(own)
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    return np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[: len(own) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
-
-
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """Further hashes from the first, by a 64-bit finaliser."""
     if not k:
@@ -95,13 +82,6 @@ def exact_masks(limit: int, bits: int = 64, blocks: int | None = None) -> list[i
     return [sum(c) for c in combinations(parts, blocks - limit)]
 
 
-def sampled_masks(bits: int, chosen: int, rate: float, missed: float) -> list[int]:
-    """Random masks of `chosen` bits: so many that fingerprints differing in a share `rate` of their bits are missed with a chance of `missed`."""
-    rng = np.random.default_rng(SEED)
-    tables = ceil(log(missed) / log(1 - (1 - rate) ** chosen))
-    return [sum(1 << int(i) for i in rng.choice(bits, chosen, replace=False)) for _ in range(tables)]
-
-
 class _Groups:
     """Components among the n rows of a batch, joined pair by pair."""
 
@@ -256,27 +236,3 @@ def grouped(scanned: DataFrame, ident: str, limit: int, masks: list[int], width:
     hexed = F.concat(*[F.lower(F.lpad(F.hex(F.col(g).bitwiseXOR(F.shiftrightunsigned(g, 1))), 16, "0")) for g in names])
     rest = [c for c in scanned.columns if c not in names]
     return scanned.join(of_node, names).select(*rest, hexed.alias("fingerprint"), "component_id")
-
-
-def index_bits(rows: int) -> int:
-    """Bits of a sampled mask, so that its index nodes stay small as rows grow."""
-    return max(16, ceil(log2(max(2, rows))) - 6)
-
-
-def one_of_each(df: DataFrame, text: str = "text", ident: str = "doc_id", words: int = 5, width: int = 4, limit: int = 50, missed: float = 0.005) -> DataFrame:
-    """The rows of df that stay when of each group of near copies only the one with the smallest ident does (of equal idents, any one row).
-
-    Texts whose sets of five-word shingles are alike to 0.8 or more have fingerprints of 256 bits that differ in 39 bits
-    on average, with a deviation of 6; `limit` holds nearly all of them, and unlike texts differ in 128. Masks are sampled such that
-    a pair that alike is missed with a chance of `missed` at most; chains over further copies find most of those too.
-    """
-    names = [f"c{i}" for i in range(len(df.columns))]
-    rows = df.toDF(*names)
-    place = {c.lower(): n for c, n in zip(df.columns, names, strict=True)}
-    scanned = written(fingerprints(rows, place[text.lower()], words, width, names).withColumn("row", F.monotonically_increasing_id()), "prints")
-    bits = 64 * width
-    light = scanned.select("row", F.col(place[ident.lower()]).alias("ident"), *[f"g{k}" for k in range(width)])
-    masks = sampled_masks(bits, index_bits(light.count()), 39 / 256, missed)
-    found = grouped(light, "row", limit, masks, width)
-    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col("ident").isNull().alias("n"), "ident", "row")).alias("first")).select(F.col("first.row").alias("row"))
-    return scanned.join(stay, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])

@@ -281,6 +281,31 @@ def test_one_of_each_group_stays(spark, docs, none):
     assert left.columns == docs.columns and left.count() == 4 and simhash.one_of_each(none).count() == 0
 
 
+def test_one_of_each_is_what_exact_jaccard_leaves(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(40)]
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(150)]
+        for changed in (0, 1, 2, 4, 5, 6, 7, 9, 12, 15):  # likeness from 1 down to about 0.4
+            v = list(base)
+            for at in rng.sample(range(150), changed):
+                v[at] = word()
+            texts.append(" ".join(v))
+        texts += [" ".join(passage + base[:40]), " ".join(passage + [word() for _ in range(5)]), " ".join(base[:20] * 6), texts[-1]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    rows = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS).repartition(3)
+    assert sorted(r.doc_id for r in simhash.one_of_each(rows).collect()) == sorted(set(root))
+
+
 def test_language_evidence(spark, docs, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(d.filter("doc_id % 2 = 0"), "text", "lang")
