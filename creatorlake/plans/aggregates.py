@@ -72,10 +72,20 @@ def d9_mechanism_catalog(table):
 
 @query("WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(trim(lower(text)), '\\s+')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln((n + 1) / (count(*) + 1)), 6) AS idf, round(count(*) / n, 6) AS prevalence FROM w, n GROUP BY term, n HAVING count(*) >= 20")
 def d10_inverse_document_frequency(table):
+    """The terms of 20 documents or more; d10_inverse_document_frequency_all has every term."""
+    return inverse_document_frequency(table).filter("df >= 20")
+
+
+@query("WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(trim(lower(text)), '\\s+')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln((n + 1) / (count(*) + 1)), 6) AS idf, round(count(*) / n, 6) AS prevalence FROM w, n GROUP BY term, n")
+def d10_inverse_document_frequency_all(table):
+    return inverse_document_frequency(table)
+
+
+def inverse_document_frequency(table):
     d = table("documents")
     words = d.select("doc_id", F.explode(F.array_distinct(F.split(F.trim(F.lower("text")), r"\s+"))).alias("term"))
     n = F.broadcast(d.agg(F.count(F.lit(1)).alias("n")))
-    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df >= 20").join(n)
+    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(n)
     return df.select("term", "df", F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)), 6).alias("idf"), F.round(F.col("df") / F.col("n"), 6).alias("prevalence"))
 
 

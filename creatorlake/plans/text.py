@@ -54,9 +54,19 @@ def h4_stop_words(table):
 
 @query(f"WITH d AS (SELECT doc_id, {LOW} AS w FROM documents), b AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM d) SELECT bigram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM b GROUP BY bigram HAVING count(DISTINCT doc_id) >= 20")
 def h5_bigrams(table):
+    """The bigrams of 20 documents or more; h5_bigrams_all has every bigram."""
+    return bigrams(table).filter("docs >= 20")
+
+
+@query(f"WITH d AS (SELECT doc_id, {LOW} AS w FROM documents), b AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM d) SELECT bigram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM b GROUP BY bigram")
+def h5_bigrams_all(table):
+    return bigrams(table)
+
+
+def bigrams(table):
     b = table("documents").select("doc_id", F.explode(T.shingles(T.words(F.lower("text")), 2)).alias("bigram"))
     per = b.groupBy("bigram", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy("bigram").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs")).filter("docs >= 20")
+    return per.groupBy("bigram").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 @query("SELECT doc_id, ((length(t) - length(replace(t, 'the ', ''))) / 4 + (length(t) - length(replace(t, 'ing', ''))) / 3 + (length(t) - length(replace(t, 'tion', ''))) / 4)::BIGINT AS hits FROM (SELECT doc_id, lower(text) AS t FROM documents)")
