@@ -7,6 +7,7 @@ running sums over blocks of rows, so no shard is ever gathered in one task.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -137,9 +138,27 @@ def placed(rows: DataFrame, shards: int, order: list[str], old: str = "old_shard
 
 
 def rewrite_affected(placed_rows: DataFrame, path: str, old: str = "old_shard") -> list[int]:
-    """Write the shards that gain or lose rows to path/shard=N and leave the other folders alone; returns their numbers."""
+    """Write the shards that gain or lose rows to path/shard=N and leave the other folders alone; returns their numbers.
+
+    The new folders are written to the side first. Then each touched folder goes and its new one takes its place; a
+    shard that is left without rows keeps no folder.
+    """
+    spark = placed_rows.sparkSession
     moved = placed_rows.filter(F.col("shard") != F.col(old))
     touched = sorted({int(r[0]) for c in ("shard", old) for r in moved.select(c).distinct().collect()})
+    if not touched:
+        return []
     part = placed_rows.filter(F.col("shard").isin(touched)).repartition("shard", F.pmod(F.col("slot"), F.lit(8)))
-    part.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    part.write.partitionBy("shard").parquet(aside)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder(path))
+    for n in touched:
+        at, new = folder(f"{path}/shard={n}"), folder(f"{aside}/shard={n}")
+        if fs.exists(at) and not fs.delete(at, True):
+            raise OSError(f"{at} can't be replaced")
+        if fs.exists(new) and not fs.rename(new, at):
+            raise OSError(f"{new} can't be moved to {at}")
+    fs.delete(folder(aside), True)
     return touched
