@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,20 +54,25 @@ def grams(text: str) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text: str, language: str, most_rows: int = 4_000, smoothing: float = 0.5) -> Model:
-    """Train on at most about most_rows labelled rows of each language, the ones with the smallest hashes.
+    """Train on at most most_rows distinct texts of each language, the ones with the smallest hashes.
 
-    The bound keeps training cheap and the counts small; more rows hardly change the model. Languages are those of
-    the labels. Each task sends one count for each language and bucket. Without labelled rows the only language is und.
+    The bound keeps training cheap and the counts small; more rows hardly change the model. Copies count as one text.
+    Languages are those of the labels that have a text with letters. Each task sends one count for each language and bucket. Without
+    any the only language is und.
     """
-    sizes = labelled.filter(F.col(language).isNotNull() & (F.length(text) > 0)).groupBy(language).count().collect()
-    share = {r[0]: min(1.0, most_rows / r[1]) for r in sizes}
-    if not share:  # nothing to learn from: one language of which nothing is known
+    named = labelled.filter(F.col(language).isNotNull() & (F.length(text) > 0)).select(F.col(language).cast("string").alias("l"), F.col(text).cast("string").alias("t"), F.xxhash64(text).alias("h"))
+    sizes = {r[0]: r[1] for r in named.select("l", "h").distinct().groupBy("l").count().collect()}
+    if not sizes:  # nothing to learn from: one language of which nothing is known
         return Model(["und"], np.zeros((1, BUCKETS), np.float32), np.zeros(1), np.ones(1))
-    names = sorted(share)
-    keep = F.lit(False)
+    names = sorted(sizes)
+    # somewhat more than most_rows hashes by a limit, then the smallest of those by rank
+    low = F.lit(False)
     for name in names:
-        keep = keep | ((F.col(language) == name) & (F.pmod(F.xxhash64(text), F.lit(10**6)) < int(share[name] * 10**6)))
-    sample = labelled.filter(keep).select(F.col(language).alias("l"), F.col(text).cast("string").alias("t"))
+        limit = -(2**63) + int(2**64 * min(1.0, (most_rows + 6 * most_rows**0.5) / sizes[name]))
+        low = low | ((F.col("l") == name) & (F.col("h") <= F.lit(min(limit, 2**63 - 1)).cast("long")))
+    ranked = named.filter(low).select("l", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h")))
+    chosen = ranked.filter(F.col("n") <= most_rows).select("l", "h")
+    sample = written(named.filter(low).join(chosen, ["l", "h"]).groupBy("l", "h").agg(F.first("t").alias("t")).select("l", "t"), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,6 +88,12 @@ def fit(labelled: DataFrame, text: str, language: str, most_rows: int = 4_000, s
     counts = np.zeros((len(names), BUCKETS))
     for r in sample.mapInArrow(run, "l string, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas().itertuples():
         counts[names.index(r.l), r.g] = r.n
+    taught = counts.sum(axis=1) > 0
+    if not taught.any():
+        return Model(["und"], np.zeros((1, BUCKETS), np.float32), np.zeros(1), np.ones(1))
+    # a language without n-grams would be flat, above the others for what none of them knows
+    names, counts = [n for n, x in zip(names, taught, strict=True) if x], counts[taught]
+    sample = sample.filter(F.col("l").isin(names))
     logs = np.log(counts + smoothing) - np.log(counts.sum(axis=1, keepdims=True) + smoothing * BUCKETS)
     model = Model(names, logs.astype(np.float32), np.zeros(len(names)), np.ones(len(names)))
     sent = labelled.sparkSession.sparkContext.broadcast(model)

@@ -346,6 +346,19 @@ def test_language_evidence(spark, docs, none):
     assert tuple(r) == ("fr", "www.x.example.de", "fr")
 
 
+def test_copies_teach_a_language_once(spark):
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    several = [(" ".join(word("abcdef") for _ in range(60)), "aa") for _ in range(300)] + [(" ".join(word("uvwxyz") for _ in range(60)), "uu") for _ in range(3)]
+    hot = [(several[0][0], "aa")] * 20_000 + [(several[-1][0], "uu")] * 9_000
+    silent = [("12 !! 34", "zz")] * 50
+    plain = langid.fit(spark.createDataFrame(several, "text string, lang string"), "text", "lang", most_rows=100)
+    model = langid.fit(spark.createDataFrame(several + hot + silent, "text string, lang string").repartition(5), "text", "lang", most_rows=100)
+    assert model.languages == ["aa", "uu"] == plain.languages
+    assert np.array_equal(model.logs, plain.logs) and np.array_equal(model.usual, plain.usual)
+    assert (model.usual < 0).all()
+
+
 def test_registered_queries_have_their_columns(spark):
     assert [q.split("_")[0] for q in queries.queries()] == [f"op{n}" for n in range(1, 11)]
     out = queries.op3_byte_bpe(spark, SF).limit(3).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect()
