@@ -46,6 +46,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def column_of(df: DataFrame, name: str) -> str:
+    """The name as df writes it; case doesn't count."""
+    return next((c for c in df.columns if c.lower() == name.lower()), name)
+
+
 def chunks(column: pa.Array, most: int = 1_000_000):
     """Index ranges (start, end) of a text column with about `most` bytes each, so that what is made of them stays small."""
     start = size = 0

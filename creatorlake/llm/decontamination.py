@@ -8,37 +8,43 @@ candidates; the longest common subsequence of words and the item's answer decide
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
-from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creatorlake.llm.common import each_text, free, sliced
+from creatorlake.llm.common import chunks, column_of, free, sliced
 
 BLOCK = 16  # words; a window is two blocks
 SKETCH_ROWS, DIMENSIONS, TERM_SLOTS = 128, 64, 1 << 15
-CACHED_TOKENS = 200_000
 BLOCK_BYTES = 16_000_000  # of benchmark text handled at once
+EDGES = r"^[^\pL\pN]+|[^\pL\pN]+$"
 HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("shared", T.DoubleType())])
 
 
 @dataclass
 class Items:
-    """One block of the benchmark: words and answer words by item, and the slot of each term."""
+    """One block of the benchmark: its terms, and words and answer words of each item as numbers of terms.
+
+    A term's slot in the latent space is its number modulo TERM_SLOTS. Terms that share a slot blur the cosine a little;
+    the words themselves are compared by their numbers.
+    """
 
     ids: list[int]
-    words: list[list[str]]
-    answers: list[set[str]]
-    slots: dict[str, int]
-    n_slots: int
-    counts: list[dict[int, int]]  # of each item's slots
+    words: list[list[int]]
+    answers: list[set[int]]
+    terms: pa.Array
+    short: int  # items of fewer words are held only where these stand in a row
+
+    @property
+    def n_slots(self) -> int:
+        return max(1, min(len(self.terms), TERM_SLOTS))
 
 
 @dataclass
@@ -49,40 +55,34 @@ class Space:
     items: np.ndarray
 
 
-def bare(token: str) -> str:
-    """The token without what is neither letter nor digit at its ends."""
-    token = token.strip(punctuation)
-    if not token or token[0].isalnum() and token[-1].isalnum():
-        return token
-    inside = [i for i, c in enumerate(token) if c.isalnum()]
-    return token[inside[0] : inside[-1] + 1] if inside else ""
-
-
-def tokens_of(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(offsets, distinct words, their numbers): the words of text i are those with numbers [offsets[i], offsets[i + 1]).
 
-
-def words_of(text: str | None) -> list[str]:
-    """Lower-case words: bare tokens between white space, empty ones left out."""
-    return [w for t in tokens_of(text) if (w := bare(t))]
+    Words are what stands between white space, in lower case, without what is neither letter nor digit at its ends;
+    they may be empty. Null texts have no words.
+    """
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    found = lists.flatten().dictionary_encode()
+    return lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64), pc.replace_substring_regex(found.dictionary, EDGES, ""), found.indices.to_numpy(zero_copy_only=False)
 
 
-class Slots(dict):
-    """token -> slot of its word, -1 if it isn't a benchmark term; a full cache starts again."""
+def words_of(texts: list[str | None]) -> list[list[str]]:
+    offsets, distinct, number = words_in(pa.array(texts, pa.string()))
+    flat = [*map(distinct.to_pylist().__getitem__, number.tolist())]
+    return [[w for w in flat[a:b] if w] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
-    def __init__(self, slots: dict[str, int]):
-        self.slots = slots
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= CACHED_TOKENS:
-            self.clear()
-        self[token] = slot = self.slots.get(bare(token), -1)
-        return slot
+def terms_in(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, number of each word's term): -1 for words that are no terms, -2 for empty ones."""
+    offsets, distinct, number = words_in(texts)
+    term = pc.fill_null(pc.index_in(distinct, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+    term[pc.equal(distinct, "").to_numpy(zero_copy_only=False)] = -2
+    return offsets, term[number] if len(number) else np.zeros(0, np.int32)
 
 
-def common_subsequence(item: list[str], words: list[str]) -> int:
+def common_subsequence(item: list[int], words: list[int]) -> int:
     """Length of the longest common subsequence, with one machine-word-like integer for the whole item."""
-    where: dict[str, int] = {}
+    where: dict[int, int] = {}
     for i, w in enumerate(item):
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(item)) - 1
@@ -94,17 +94,15 @@ def common_subsequence(item: list[str], words: list[str]) -> int:
     return len(item) - row.bit_count()
 
 
-def _slots_at(tokens: list[str], slots: Slots) -> np.ndarray:
-    return np.fromiter(map(slots.__getitem__, tokens), np.int32, len(tokens))
-
-
 def items_of(benchmark: DataFrame, item: str, text: str, answer: str | None, block: int, blocks: int, min_words: int) -> Items:
+    """The items of one block; those without an id or without words are in no text."""
     rows = benchmark.filter(F.pmod(F.xxhash64(item), F.lit(blocks)) == block).select(item, text, *([answer] if answer else [])).collect()
-    kept = [(int(r[0]), w, set(words_of(r[2])) if answer else set()) for r in rows if r[0] is not None and len(w := words_of(r[1])) >= min_words]
-    terms = sorted({w for _, ws, _ in kept for w in ws})
-    slots = {w: i % TERM_SLOTS for i, w in enumerate(terms)}
-    counts = [dict(Counter(slots[w] for w in ws)) for _, ws, _ in kept]
-    return Items([k[0] for k in kept], [k[1] for k in kept], [k[2] for k in kept], slots, max(1, min(len(terms), TERM_SLOTS)), counts)
+    rows = [r for r in rows if r[0] is not None]
+    words, answers = words_of([r[1] for r in rows]), words_of([r[2] if answer else None for r in rows])
+    kept = [(int(r[0]), w, a) for r, w, a in zip(rows, words, answers, strict=True) if w]
+    terms = sorted({w for _, ws, a in kept for w in (*ws, *a)})
+    number = {w: i for i, w in enumerate(terms)}
+    return Items([k[0] for k in kept], [[number[w] for w in k[1]] for k in kept], [{number[w] for w in k[2]} for k in kept], pa.array(terms, pa.string()), min_words)
 
 
 def fitted(docs: DataFrame, text: str, items: Items) -> Space:
@@ -114,36 +112,36 @@ def fitted(docs: DataFrame, text: str, items: Items) -> Space:
     A term's weight is its squared inverse frequency, which tells windows that share an item's rare words from those that
     share the frequent ones; no weight is zero, so an item that very many documents hold is found like any other.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((items.slots, items.n_slots))
+    sent, n = docs.sparkSession.sparkContext.broadcast(items.terms), items.n_slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, n = Slots(sent.value[0]), sent.value[1]
         sums, seen, passages = np.zeros(SKETCH_ROWS * n, np.float32), np.zeros(n, np.int64), 0
-        for b in batches:
-            for t in each_text(b.column(0)):
-                tokens = tokens_of(t)
-                found = _slots_at(tokens, slots)
-                at = np.flatnonzero(found >= 0)
-                slot = found[at]
-                count = -(-len(tokens) // (2 * BLOCK))
-                passages += count
-                if not len(slot):
-                    continue
-                passage = at // (2 * BLOCK)
-                pair, times = np.unique(passage.astype(np.int64) * n + slot, return_counts=True)
-                owner, term = pair // n, pair % n
-                seen += np.bincount(term, minlength=n)
-                # a row and a sign for each passage, from what it holds and where it stands
-                key = np.bincount(owner, weights=(term * 2654435761 % 1000003) * times, minlength=count).astype(np.uint64) + np.arange(count, dtype=np.uint64) * np.uint64(7919)
-                key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-                row, sign = (key % np.uint64(SKETCH_ROWS)).astype(np.int64), np.where(key >> np.uint64(31) & np.uint64(1), 1.0, -1.0)
-                np.add.at(sums, row[owner] * n + term, (sign[owner] * (1 + np.log(times))).astype(np.float32))
+        for texts in (b.column(0).slice(i, j - i) for b in sliced(batches) for i, j in chunks(b.column(0))):
+            offsets, term = terms_in(texts, sent.value)
+            size = np.diff(offsets)
+            count = -(-size // (2 * BLOCK))
+            first = np.cumsum(count) - count
+            passages += int(count.sum())
+            at = np.flatnonzero(term >= 0)
+            if not len(at):
+                continue
+            doc = np.repeat(np.arange(len(size)), size)[at]
+            inside = (at - offsets[doc]) // (2 * BLOCK)
+            pair, times = np.unique((first[doc] + inside) * n + term[at] % n, return_counts=True)
+            owner, slot = pair // n, pair % n
+            seen += np.bincount(slot, minlength=n)
+            # a row and a sign for each passage, from what it holds and where it stands
+            nth = np.zeros(int(count.sum()), np.uint64)
+            nth[first[doc] + inside] = inside
+            key = np.bincount(owner, weights=(slot * 2654435761 % 1000003) * times, minlength=len(nth)).astype(np.uint64) + nth * np.uint64(7919)
+            key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            row, sign = (key % np.uint64(SKETCH_ROWS)).astype(np.int64), np.where(key >> np.uint64(31) & np.uint64(1), 1.0, -1.0)
+            np.add.at(sums, row[owner] * n + slot, (sign[owner] * (1 + np.log(times))).astype(np.float32))
         cell = np.flatnonzero(sums)
-        term = np.flatnonzero(seen)
-        cells = np.concatenate([cell, SKETCH_ROWS * n + term, [(SKETCH_ROWS + 1) * n]])
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.concatenate([sums[cell], seen[term], [passages]]).astype(np.float64))], names=["cell", "value"])
+        slot = np.flatnonzero(seen)
+        cells = np.concatenate([cell, SKETCH_ROWS * n + slot, [(SKETCH_ROWS + 1) * n]])
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.concatenate([sums[cell], seen[slot], [passages]]).astype(np.float64))], names=["cell", "value"])
 
-    n = items.n_slots
     total = np.zeros((SKETCH_ROWS + 1) * n + 1)
     table = docs.select(F.col(text).cast("string")).mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     total[table.column("cell").to_numpy()] = table.column("value").to_numpy()
@@ -151,7 +149,7 @@ def fitted(docs: DataFrame, text: str, items: Items) -> Space:
     rare = np.log(1 + passages / (seen + 1)) ** 2
     own = np.zeros((len(items.ids), n))
     for i, words in enumerate(items.words):
-        slot, times = np.unique([items.slots[w] for w in words], return_counts=True)
+        slot, times = np.unique(np.array(words) % n, return_counts=True)
         own[i, slot] = 1 + np.log(times)
     own *= rare
     sums = sums * rare
@@ -167,10 +165,10 @@ def fitted(docs: DataFrame, text: str, items: Items) -> Space:
     return Space((rare[:, None] * axes).astype(np.float32), (at / np.where(size > 0, size, 1)).astype(np.float32))
 
 
-def _windows(found: np.ndarray, space: Space) -> np.ndarray:
-    """Unit vectors of the windows, which start at every block but the last; found: the slot of each token, or -1."""
-    at = np.flatnonzero(found >= 0)
-    slot, blocks = found[at], -(-len(found) // BLOCK)
+def _windows(term: np.ndarray, space: Space) -> np.ndarray:
+    """Unit vectors of the windows, which start at every block but the last; term: the number of each word's term."""
+    at = np.flatnonzero(term >= 0)
+    slot, blocks = term[at] % len(space.terms), -(-len(term) // BLOCK)
     sums = np.zeros((blocks, space.terms.shape[1]), np.float32)
     if len(slot):
         owner = at // BLOCK
@@ -182,45 +180,80 @@ def _windows(found: np.ndarray, space: Space) -> np.ndarray:
     return sums / np.where(size > 0, size, 1)
 
 
-def rarest_slots(items: Items, space: Space, likely: float) -> list[set[int]]:
-    """For each item so many of its rarest words that a text without any of them can't hold `likely` of it in order."""
-    weight, out = np.linalg.norm(space.terms, axis=1), []
-    for counts, words in zip(items.counts, items.words, strict=True):
-        missing, chosen = 0, set()
-        for x in sorted(counts, key=lambda x: -weight[x]):
-            if missing > (1 - likely) * len(words):
-                break
-            chosen.add(x)
-            missing += counts[x]
-        out.append(chosen)
-    return out
-
-
-def matches(tokens: list[str], items: Items, slots: Slots, space: Space, rarest: list[set[int]], near: float, sure: float, likely: float) -> list[tuple[int, float, float]]:
-    """(item, cosine, share of its words found in order) of the items that the tokens of a text hold."""
-    if not tokens or not items.ids:
-        return []
-    best: dict[int, tuple[float, float]] = {}
-    found = _slots_at(tokens, slots)
-    vectors, own, seen = _windows(found, space), found.tolist(), -1
-    longest = max(map(len, items.words))
-    for i in range(0, len(vectors), 4096):
-        cosine = vectors[i : i + 4096] @ space.items.T
-        for w, k in zip(*(x.tolist() for x in np.nonzero(cosine >= near)), strict=True):
-            item = items.words[k]
-            if best.get(k, (0, 0))[1] == 1:
-                continue
-            start = (i + w) * BLOCK
-            if start != seen:
-                seen, here = start, set(own[max(0, start - longest) : start + 2 * BLOCK + longest])
-            if here.isdisjoint(rarest[k]) or sum(n for x, n in items.counts[k].items() if x not in here) > (1 - likely) * len(item):
-                continue
-            region = [bare(t) for t in tokens[max(0, start - len(item)) : start + 2 * BLOCK + len(item)]]
-            share = common_subsequence(item, region) / len(item)
-            answered = len(items.answers[k] & set(region)) * 2 >= len(items.answers[k])
-            if share >= sure or share >= likely and answered:
-                best[k] = max(best.get(k, (0.0, 0.0)), (float(cosine[w, k]), share), key=lambda x: x[::-1])
-    return [(items.ids[k], c, s) for k, (c, s) in sorted(best.items())]
+class Search:
+    """Finds the items of one block in texts.
+
+    Before any window is made, words alone tell which items a text can hold: it needs one of so many of an item's
+    rarest words that without all of those `likely` of it can't be there, and it needs `likely` of the item's words at all.
+    """
+
+    def __init__(self, items: Items, space: Space, near: float, sure: float, likely: float):
+        self.items, self.space, self.near, self.sure = items, space, near, sure
+        self.longest = max(map(len, items.words), default=0)
+        self.likely = [1.0 if len(w) < items.short else likely for w in items.words]
+        weight = np.linalg.norm(space.terms, axis=1)
+        self.distinct, self.times, self.by_term = [], [], {}
+        for k, words in enumerate(items.words):
+            term, times = np.unique(words, return_counts=True)
+            self.distinct.append(term)
+            self.times.append(times)
+            missing = 0
+            for i in np.argsort(-weight[term % len(weight)], kind="stable").tolist():
+                if missing > (1 - self.likely[k]) * len(words):
+                    break
+                self.by_term.setdefault(int(term[i]), []).append(k)
+                missing += int(times[i])
+        self.rare = np.zeros(len(items.terms) + 2, bool)
+        self.rare[list(self.by_term)] = True
+        self.present = np.zeros(len(items.terms) + 2, bool)
+
+    def possible(self, term: np.ndarray) -> list[int]:
+        """The items that a text with these terms can hold."""
+        seen = np.unique(term[self.rare[term]]).tolist()
+        if not seen:
+            return []
+        self.present[term] = True
+        self.present[-2:] = False  # where no term is
+        out = [k for k in sorted({k for t in seen for k in self.by_term[t]}) if self.times[k][self.present[self.distinct[k]]].sum() >= self.likely[k] * len(self.items.words[k])]
+        self.present[term] = False
+        return out
+
+    def held(self, term: np.ndarray) -> list[tuple[int, float, float]]:
+        """(item, cosine, share of its words found in order) of the items that a text with these terms holds."""
+        some = self.possible(term)
+        if not some:
+            return []
+        items, best = self.items, {}
+        for k in [k for k in some if len(items.words[k]) < items.short]:
+            words, plain = items.words[k], term[term != -2]
+            row = np.ones(max(0, len(plain) - len(words) + 1), bool)
+            for i, w in enumerate(words):
+                row &= plain[i : i + len(row)] == w
+            if row.any():
+                best[k] = (1.0, 1.0)
+        some = [k for k in some if len(items.words[k]) >= items.short]
+        vectors = _windows(term, self.space) if some else np.zeros((0, 1), np.float32)
+        for i in range(0, len(vectors), 4096):
+            cosine = vectors[i : i + 4096] @ self.space.items[some].T
+            for w, j in zip(*(x.tolist() for x in np.nonzero(cosine >= self.near)), strict=True):
+                k = some[j]
+                words = items.words[k]
+                if best.get(k, (0, 0))[1] == 1:
+                    continue
+                start = (i + w) * BLOCK
+                region = term[max(0, start - len(words)) : start + 2 * BLOCK + len(words)]
+                self.present[region] = True
+                self.present[-2:] = False
+                enough = self.times[k][self.present[self.distinct[k]]].sum() >= self.likely[k] * len(words)
+                self.present[region] = False
+                if not enough:
+                    continue
+                own = region.tolist()
+                share = common_subsequence(words, own) / len(words)
+                answered = len(items.answers[k] & set(own)) * 2 >= len(items.answers[k])
+                if share >= self.sure or share >= self.likely[k] and answered:
+                    best[k] = max(best.get(k, (0.0, 0.0)), (float(cosine[w, j]), share), key=lambda x: x[::-1])
+        return [(items.ids[k], c, s) for k, (c, s) in sorted(best.items())]
 
 
 def contamination(
@@ -230,10 +263,11 @@ def contamination(
     """df (or its columns in keep) with the benchmark items that each text holds: item_id, cosine and the share of the item's words found in order.
 
     An item is held if a window of the text is within `near` of it and at least `sure` of its words come in order
-    around there, or `likely` of them and half of its answer's words (where no answer is known, `likely` alone). Items of
-    fewer than min_words words tell nothing and are left out. Null and empty texts hold nothing. The benchmark is handled in
-    blocks of about BLOCK_BYTES of text, so what is sent to the tasks is bounded. Rows aren't moved.
+    around there, or `likely` of them and half of its answer's words (where no answer is known, `likely` alone). An item of fewer than
+    min_words words is held where they stand in a row. Null and empty texts and items hold nothing; items that share an id
+    each give a hit. The benchmark is handled in blocks of about BLOCK_BYTES of text, so what is sent to the tasks is bounded. Rows aren't moved.
     """
+    text, item, item_text = column_of(df, text), column_of(benchmark, item), column_of(benchmark, item_text)
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = ceil(size / BLOCK_BYTES) or 1
     out = df.select(*(df.columns if keep is None else keep)) if text in (df.columns if keep is None else keep) else df.select(*keep, text)
@@ -254,11 +288,13 @@ def _scan(df: DataFrame, text: str, found: str, items: Items, space: Space, near
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("shared", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at = sent.value
-        slots, rarest = Slots(own.slots), rarest_slots(own, at, likely)
+        search = Search(*sent.value, near, sure, likely)
         for b in sliced(batches):
-            new = [[dict(zip(("item_id", "cosine", "shared"), h, strict=True)) for h in matches(tokens_of(t), own, slots, at, rarest, near, sure, likely)] for t in each_text(b.column(place))]
-            old = b.column(len(schema) - 1).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x + y for x, y in zip(old, new, strict=True)], kind)], names=schema.names)
+            new = []
+            for i, j in chunks(b.column(place)):
+                offsets, term = terms_in(b.column(place).slice(i, j - i).cast(pa.string()), search.items.terms)
+                new += [search.held(term[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            found = [x + [dict(zip(("item_id", "cosine", "shared"), h, strict=True)) for h in y] for x, y in zip(b.column(len(schema) - 1).to_pylist(), new, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, kind)], names=schema.names)
 
     return df.mapInArrow(run, schema)
