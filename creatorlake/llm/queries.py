@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 
 from creatorlake.llm import langid
 from creatorlake.llm.byte_bpe import Vocabulary, decode, encode
-from creatorlake.llm.common import read, shared_dir, written
+from creatorlake.llm.common import read, shared_dir
 from creatorlake.llm.decontamination import contamination
 from creatorlake.llm.pii import pseudonymised
 from creatorlake.llm.secrets import secret_scan
-from creatorlake.llm.sharding import placed, rewrite_affected
+from creatorlake.llm.sharding import layout, rewrite_affected
 from creatorlake.llm.simhash import near_duplicates
 from creatorlake.llm.token_counts import split_vocabulary, token_counts
 from creatorlake.llm.topk import top_k
@@ -71,26 +71,22 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with their texts as they lie, then the affected shards rewritten; the result is read from those folders."""
+    """The documents with their texts, from 16 shards by text to 24; the affected shards are written, and the result is read from there."""
     docs = read(spark, sf_dir, "documents")
     rows = docs.select(
         "doc_id",
         "text",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        # as the documents lie before: one of 16 shards for all rows of a source
-        F.coalesce(F.pmod(F.xxhash64("source"), F.lit(16)), F.lit(0)).cast("int").alias("old_shard"),
+        # as the documents lie before: equal texts in one of 16 shards
+        F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(16)).cast("int").alias("old_shard"),
     )
-    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "documents")
-    # the texts are sent once, when their places are known
-    place = written(placed(rows.drop("text"), 24, order=["doc_id", "text_crc32"]).select("id", "shard", "slot"), "placed")
-    out = rows.join(place, "id").drop("id")
+    plan = layout(rows, 24, order=["text_crc32", "doc_id"], group=["text"])
+    out, path = plan.apply(rows), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     # shards that nothing moves into or out of lie there already
-    moved = {r[0] for r in out.filter("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct().collect()}
-    if still := sorted(set(range(24)) - moved):
-        out.filter(F.col("shard").isin(still)).repartition("shard", F.pmod(F.col("slot"), F.lit(8))).write.partitionBy("shard").parquet(path)
-    rewrite_affected(out, path)
+    if still := sorted(set(range(24)) - set(plan.touched)):
+        out.filter(F.col("shard").isin(still)).write.partitionBy("shard").parquet(path)
+    rewrite_affected(out, path, touched=plan.touched)
     lie = spark.read.schema(T.StructType([f for f in out.schema if f.name != "shard"] + [out.schema["shard"]])).parquet(path)
     text = F.coalesce("text", F.lit(""))
     return lie.select(

@@ -161,14 +161,31 @@ def test_sharding_moves_the_fewest_bytes(spark, docs, none):
         assert [sum(r) for r in flow] == supply and all(sum(c) <= m for c, m in zip(zip(*flow), capacity))
         assert sum(x for i, r in enumerate(flow) for j, x in enumerate(r) if i != j) == brute_flow(supply, capacity)
     out = queries.op6_flow_sharding(spark, "/root/testdata/sf0.01").toPandas()
-    sizes = out.groupby("shard")["size"].sum()
-    assert len(sizes) == 24 and sizes.max() - sizes.min() <= 2 * out["size"].max()
+    sizes, goal = out.groupby("shard")["size"].sum(), out["size"].sum() / 24
+    assert len(sizes) == 24 and sizes.max() - sizes.min() <= 2 * max(out["size"].max(), goal / 100)
+    groups = out.groupby(["text_crc32", "size"]).agg(n=("doc_id", "size"), shards=("shard", "nunique"), bytes=("size", "sum"))
+    assert (groups.n > 1).any() and (groups.shards[groups.bytes <= goal // 100] == 1).all()
+    supply, kept = out.groupby("old_shard")["size"].sum(), out[out.shard == out.old_shard]["size"].sum()
+    best = sum(min(supply.get(i, 0), goal) for i in range(24))  # the flow's optimum keeps this much where it is
+    assert kept >= 0.97 * best
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
     rows = docs.select("doc_id", F.lit(8).cast("long").alias("size"), F.lit(None).cast("int").alias("old_shard"))
     assert sharding.placed(rows, 3, ["doc_id"]).groupBy("shard").count().count() == 3
     assert sharding.placed(rows.limit(0), 3, ["doc_id"]).count() == 0
 
 
+def test_layout_with_clashing_names_a_hot_group_and_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_BYTES", 400)
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i // 5}", i % 2, 10 + i % 7, 1, 2, 3) for i in range(900)]
+    d = spark.createDataFrame(rows, "id long, text string, old_shard int, size long, __ranges int, __row int, Shard int")
+    out = sharding.placed(d, 5, ["id"], group=["text"]).toPandas()
+    assert len(out) == 900 and {"__ranges", "__row"} <= set(out.columns) and list(out.columns).count("shard") == 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(sizes) == 5 and sizes.max() - sizes.min() <= 4 * 16
+    assert out[out.shard == out.old_shard]["size"].sum() >= 0.95 * 2 * out["size"].sum() / 5
+
+
 def test_only_affected_shards_are_written(spark, tmp_path):
     rows = spark.createDataFrame([(i, 10, 0 if i < 60 else 1 if i < 80 else 2) for i in range(100)], "doc_id long, size long, old_shard int")
     out = sharding.placed(rows, 3, ["doc_id"], capacity=[600, 200, 200])
@@ -223,8 +240,8 @@ def test_pseudonyms_keep_formats_and_links(spark, docs, none):
 def test_decontamination_finds_what_a_full_scan_finds(spark, docs, none):
     path = "/root/testdata/sf0.01"
     d, b = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
-    items = {r.item_id: decontamination.words_of(r.text) for r in b.collect()}
-    expected = {(r.doc_id, i) for r in d.collect() for i, w in items.items() if f" {' '.join(w)} " in f" {' '.join(decontamination.words_of(r.text))} "}
+    items = {r.item_id: decontamination.words_of([r.text])[0] for r in b.collect()}
+    expected = {(r.doc_id, i) for r in d.collect() for i, w in items.items() if f" {' '.join(w)} " in f" {' '.join(decontamination.words_of([r.text])[0])} "}
     got = {(r.doc_id, h.item_id) for r in decontamination.contamination(d, b).collect() for h in r.benchmark_hits}
     assert expected and expected <= got and len(got - expected) <= 0.1 * len(got)
     words = next(w for w in items.values() if len(w) >= 30)
@@ -232,6 +249,9 @@ def test_decontamination_finds_what_a_full_scan_finds(spark, docs, none):
     para = spark.createDataFrame([(1, "vor " * 40 + " ".join(changed) + " nach" * 40), (2, None), (3, "")], "doc_id long, text string")
     assert [len(r.benchmark_hits) for r in decontamination.contamination(para, b).orderBy("doc_id").collect()] == [1, 0, 0]
     assert decontamination.contamination(none, b).count() == 0 and decontamination.contamination(docs, b.limit(0)).count() == len(ROWS)
+    clash = para.select("doc_id", F.col("text").alias("Text"), F.lit(1).alias("Benchmark_Hits"), F.lit(2).alias("__found"), F.lit(3).alias("term"))
+    out = decontamination.contamination(clash, b)
+    assert [len(r.benchmark_hits) for r in out.orderBy("doc_id").collect()] == [1, 0, 0] and "__found" in out.columns
     for _ in range(200):
         x, y = [[random.choice("abcd") for _ in range(random.randint(0, 12))] for _ in range(2)]
         table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -241,6 +261,19 @@ def test_decontamination_finds_what_a_full_scan_finds(spark, docs, none):
         assert decontamination.common_subsequence(x, y) == table[-1][-1]
 
 
+def test_answers_decide_between_likely_and_sure_and_short_items_stand_in_a_row(spark):
+    words = [f"w{i}" for i in range(40)]
+    b = spark.createDataFrame([(1, " ".join(words), "w38 w39 w37"), (2, "three short words", None), (2, "three short words", None), (3, "", "w1"), (None, "w1 w2", None)], "item_id long, text string, answer string")
+    near = [w if i % 4 else "andere" for i, w in enumerate(words)]  # three quarters in order, answer included
+    gone = [w if i % 5 and i < 37 else "andere" for i, w in enumerate(words)]
+    fill = [f"f{i}" for i in range(50)]
+    texts = [" ".join(fill + near + fill), " ".join(fill + gone + fill), "say: Three, short -- words!", "three words short", " ".join(words), None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits = {r.doc_id: [h.item_id for h in r.benchmark_hits] for r in decontamination.contamination(d, b, answer="answer").collect()}
+    assert hits == {0: [1], 1: [], 2: [2, 2], 3: [], 4: [1], 5: []}
+    assert [len(r.benchmark_hits) for r in decontamination.contamination(d.filter("doc_id = 1"), b).collect()] == [1]  # no answer known
+
+
 def brute_print(text):
     words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))] if words else []
