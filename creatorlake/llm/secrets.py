@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from creatorlake.llm.common import each_text, written
+from creatorlake.llm.common import each_text, looked_up, written
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -50,6 +50,18 @@ def open_spans(text: str) -> list[tuple[int, int, int, str]]:
     return [(m.start(), 3, m.end(), m[0]) for m in OPEN.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and entropy(m[0]) >= 3]
 
 
+def apart(spans: list, base: list) -> list:
+    """The spans that overlap none of base; both sorted by start, the end third in either."""
+    out, i, reach = [], 0, 0
+    for x in spans:
+        while i < len(base) and base[i][0] < x[2]:
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach <= x[0]:
+            out.append(x)
+    return out
+
+
 def secret_scan(df: DataFrame, owner: Column, repository: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shared_by: int = 3) -> DataFrame:
     """A row for each row of df: the columns in keep, base and spans (arrays of kind, start, end), n_live and n_shared.
 
@@ -71,7 +83,7 @@ def secret_scan(df: DataFrame, owner: Column, repository: Column, text: str = "t
             cands = []
             for t in each_text(b.column(n + 2)):
                 base = base_spans(t) if t else []
-                more = [x for x in open_spans(t) if not any(s < x[2] and x[0] < e for s, _, e, _ in base)] if t else []
+                more = apart(open_spans(t), base) if t else []
                 cands.append([{"start": s, "place": k, "end": e, "hash": xxh3_64_intdigest(v) - 2**63} for s, k, e, v in base + more])
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n + 2)] + [pa.array(cands, kind)], names=found.names)
 
@@ -79,8 +91,9 @@ def secret_scan(df: DataFrame, owner: Column, repository: Column, text: str = "t
     each = scanned.filter(F.size("cands") > 0).select("__row", "__owner", "__repo", F.explode("cands").alias("c")).select("__row", "__owner", "__repo", "c.*")
     # one row for each owner and repository of a value first, so that a value held by a third of all rows is counted in pieces
     held = each.groupBy("hash", "__owner", "__repo").agg(F.count(F.lit(1)).alias("n"))
-    spread = held.groupBy("hash").agg(F.countDistinct(F.coalesce("__owner", F.lit(""))).alias("owners"), F.count(F.lit(1)).alias("repositories"))
-    judged = each.join(spread, "hash").withColumn("live", (F.col("owners") < shared_by) & (F.col("repositories") < shared_by))
+    spread = held.groupBy("hash").agg(F.countDistinct(F.coalesce("__owner", F.lit(""))).alias("owners"), F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("times"))
+    # a value that very many rows hold is judged where those rows are
+    judged = looked_up(each, written(spread, "spread"), "hash", "times", each.count()).withColumn("live", (F.col("owners") < shared_by) & (F.col("repositories") < shared_by))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     per_row = (
         judged.filter((F.col("place") < 3) | F.col("live"))
