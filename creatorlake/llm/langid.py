@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creatorlake.llm.common import each_text, sliced, written
+from creatorlake.llm.common import each_text, looked_up, sliced, written
 
 BUCKETS = 1 << 18
-TAG = re.compile(r"(?s)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+TAG = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 MOST_OF_A_TEXT = 4
 PIECE = 1_000_000  # characters of a very long text that are looked at together
+#: Country suffixes and the language most written there.
+SUFFIXES = {"at": "de", "li": "de", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en", "mx": "es", "ar": "es", "cl": "es", "pe": "es", "uy": "es", "mc": "fr", "br": "pt", "cz": "cs", "dk": "da", "gr": "el", "jp": "ja", "kr": "ko", "cn": "zh", "se": "sv", "ua": "uk"}
 SEEN = 2_000  # n-grams after which further ones don't make the text's evidence weigh more
 
 
@@ -37,20 +40,34 @@ class Model:
     spread: np.ndarray  # and its deviation over them, from the lowest tenth
 
 
-def grams(text: str) -> np.ndarray:
-    """Buckets of the character pairs, triples and quadruples of the lower-cased letters, words set apart by one mark."""
+def symbols(text: str) -> np.ndarray:
+    """The lower-cased letters, with one mark for whatever stands between two of them or at the ends."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = ((cp >= 97) & (cp <= 122)) | (cp >= 170) & (cp != 215) & (cp != 247)
     cp = np.where(letter, cp, 32).astype(np.uint64)
-    cp = cp[np.append(True, (cp[1:] != 32) | (cp[:-1] != 32))] if len(cp) else cp
-    if not (cp != 32).any():
-        return np.zeros(0, np.int32)
-    cp = np.concatenate([[np.uint64(32)], cp[1 if cp[0] == 32 else 0 : -1 if cp[-1] == 32 else None], [np.uint64(32)]])
-    out, h = [], cp
-    for n in (2, 3, 4):
-        h = (h[:-1] * np.uint64(0x100000001B3)) ^ cp[n - 1 :]
-        out.append((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46))
-    return np.concatenate(out).astype(np.int32)
+    return cp[np.append(True, (cp[1:] != 32) | (cp[:-1] != 32))] if len(cp) else cp
+
+
+def grams_by_piece(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the pairs, triples and quadruples of the symbols, a mark before and after all, each piece of the text after the other."""
+    before = np.array([32], np.uint64)
+    for i in range(0, len(text), PIECE):
+        cp = symbols(text[i : i + PIECE])
+        if len(cp) and cp[0] == 32 == before[-1]:
+            cp = cp[1:]
+        if i + PIECE >= len(text) and (cp if len(cp) else before)[-1] != 32:
+            cp = np.append(cp, np.uint64(32))
+        cp, old = np.concatenate([before, cp]), len(before)
+        out, h = [], cp
+        for n in (2, 3, 4):
+            h = (h[:-1] * np.uint64(0x100000001B3)) ^ cp[n - 1 :]
+            out.append((h[max(0, old - n + 1) :] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46))
+        before = cp[-3:]
+        yield np.concatenate(out).astype(np.int32)
+
+
+def grams(text: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int32), *grams_by_piece(text)])
 
 
 def fit(labelled: DataFrame, text: str, language: str, most_rows: int = 4_000, smoothing: float = 0.5) -> Model:
@@ -110,8 +127,8 @@ def fit(labelled: DataFrame, text: str, language: str, most_rows: int = 4_000, s
 
 
 def plain(html: str) -> str:
-    """Text between tags, without scripts, styles and comments."""
-    return TAG.sub(" ", html)
+    """Text between tags, without scripts, styles and comments, entities resolved."""
+    return unescape(TAG.sub(" ", html))
 
 
 def text_evidence(df: DataFrame, model: Model, text: Column, markup: bool, keep: dict[str, Column], text_in: str | None = None) -> DataFrame:
@@ -134,8 +151,7 @@ def text_evidence(df: DataFrame, model: Model, text: Column, markup: bool, keep:
             for t in each_text(b.column(place)):
                 t = plain(t) if markup and t else t or ""
                 total, n = np.zeros(len(m.languages)), 0
-                for i in range(0, len(t), PIECE):
-                    g = grams(t[i : i + PIECE])
+                for g in grams_by_piece(t):
                     total += table[g].sum(axis=0, dtype=np.float64)
                     n += len(g)
                 mean = total / max(1, n)
@@ -159,9 +175,11 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def address_language(url: Column, languages: list[str]) -> Column:
-    """The language that the host's suffix or first path names, or null."""
+def address_language(url: Column, languages: list[str], suffixes: dict[str, str] | None = None) -> Column:
+    """The language that the first part of the path or the host's suffix (a language's own or that of a country in suffixes) names, or null."""
     suffix = F.regexp_extract(host_of(url), r"\.([a-z]{2,})$", 1)
+    table = SUFFIXES if suffixes is None else suffixes
+    suffix = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), suffix), suffix) if table else suffix
     path = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:[/?#]|$)", 1))
     return F.when(path.isin(languages), path).when(suffix.isin(languages), suffix)
 
@@ -204,14 +222,15 @@ def fused(evidence: DataFrame, languages: list[str], trust: float = 0.9, least:
 
     evidence: host, declared, address, likely, n_grams and fit; the others stay, but for those six and columns of the new names.
     trust: the chance that a declared language, or half that of an address, is right. A row is accepted if its best
-    language has a posterior of `least` or more and its text has letters, and, with n >= `few` n-grams, isn't
+    language (of equal ones the first in alphabetical order) has a posterior of `least` or more and its text has letters, and, with n >= `few` n-grams, isn't
     odd * (1 + 10 / sqrt(n)) deviations below what its language is used to: text in another script or language, or noise. Null and empty texts are not accepted; their language is that of
     the other evidence.
     """
     evidence = written(evidence.withColumn("host", F.coalesce("host", F.lit(""))), "evidence")
-    # a written table has a known size: Spark sends it to all tasks if it is small, and else deals out both sides
-    priors = written(host_priors(evidence, languages), "priors")
-    joined = evidence.join(priors, "host", "left")
+    priors = host_priors(evidence, languages)
+    # a host with very many texts gets its prior where those texts are
+    counts = evidence.groupBy("host").agg(F.count(F.lit(1)).alias("times"))
+    joined = looked_up(evidence, written(counts.join(priors, "host", "left"), "priors"), "host", "times", evidence.count())
     other = (1 - trust) / max(1, len(languages) - 1)
 
     def said(c: str, i: int, right: float, wrong: float) -> Column:
