@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 try:
@@ -19,11 +21,12 @@ except OSError:  # another C library: nothing to trim with
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode and one in the warehouse on a cluster."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="creatorlake-")
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        found = tempfile.mkdtemp(prefix="creatorlake-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -51,6 +54,17 @@ def column_of(df: DataFrame, name: str) -> str:
     return next((c for c in df.columns if c.lower() == name.lower()), name)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, times: str, total: int) -> DataFrame:
+    """The inner join of rows with table, which has one row for each key and in `times` how often rows has it.
+
+    Keys of more than a thousandth of the total (so fewer than a thousand of them) are sent to every task, so no task
+    gets all rows of such a key; the others meet by their key. rows is read twice.
+    """
+    most = max(1_000, total // 1_000)
+    often, seldom = F.broadcast(table.filter(F.col(times) > most).drop(times)), table.filter(F.col(times) <= most).drop(times)
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
+
+
 def chunks(column: pa.Array, most: int = 1_000_000):
     """Index ranges (start, end) of a text column with about `most` bytes each, so that what is made of them stays small."""
     start = size = 0

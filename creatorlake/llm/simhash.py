@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creatorlake.llm.common import each_text, sliced, written
+from creatorlake.llm.common import each_text, looked_up, sliced, written
 from creatorlake.llm.components import components
 from creatorlake.llm.near_copies import one_of_each  # noqa: F401
 from creatorlake.llm.shingles import shingle_hashes
@@ -229,10 +229,11 @@ def grouped(scanned: DataFrame, ident: str, limit: int, masks: list[int], width:
     names = [f"g{k}" for k in range(width)]
     node = F.monotonically_increasing_id().alias("node")
     nodes = written(scanned.groupBy(*names).agg(F.min(ident).alias("first_id")).select("*", node), "nodes")
-    found = written(components(links(nodes.select("node", *names), masks, limit, width)), "components")
-    member = nodes.join(found, "node")
-    smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_node = nodes.join(found, "node", "left").join(smallest, "root", "left").select(*names, F.coalesce("component_id", "first_id").alias("component_id"))
+    found = components(links(nodes.select("node", *names), masks, limit, width))
+    member = written(nodes.join(found, "node").select("root", *names, "first_id"), "members")
+    smallest = written(member.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("times")), "smallest")
+    in_group = looked_up(member, smallest, "root", "times", member.count()).select(*names, "component_id")
+    of_node = nodes.join(in_group, names, "left").select(*names, F.coalesce("component_id", "first_id").alias("component_id"))
     hexed = F.concat(*[F.lower(F.lpad(F.hex(F.col(g).bitwiseXOR(F.shiftrightunsigned(g, 1))), 16, "0")) for g in names])
     rest = [c for c in scanned.columns if c not in names]
     return scanned.join(of_node, names).select(*rest, hexed.alias("fingerprint"), "component_id")

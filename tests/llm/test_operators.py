@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creatorlake.llm import byte_bpe, decontamination, langid, pii, queries, secrets, sharding, simhash, token_counts, topk, toxicity
+from creatorlake.llm import byte_bpe, decontamination, langid, near_copies, pii, queries, secrets, sharding, simhash, token_counts, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -338,7 +338,10 @@ def test_one_of_each_group_stays(spark, docs, none):
     assert left.columns == docs.columns and left.count() == 4 and simhash.one_of_each(none).count() == 0
 
 
-def test_one_of_each_is_what_exact_jaccard_leaves(spark):
+@pytest.mark.parametrize("frequent", [False, True])
+def test_one_of_each_is_what_exact_jaccard_leaves(spark, monkeypatch, frequent):
+    if frequent:  # every shingle is dealt to several groups
+        monkeypatch.setattr(near_copies, "_frequencies", lambda rows, words: (np.zeros(near_copies.BUCKETS, np.uint16), 0))
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     passage = [word() for _ in range(40)]
@@ -363,6 +366,13 @@ def test_one_of_each_is_what_exact_jaccard_leaves(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(rows).collect()) == sorted(set(root))
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    text = lambda k: " ".join(f"w{k}_{i}" for i in range(30))
+    rows = [(7, text(1), "en", "a", 1), (7, text(1), "en", "a", 1), (7, text(2), "en", "a", 2), (None, text(3), "en", "a", 3), (None, text(3), "de", "a", 3), (9, text(2), None, None, None), (None, None, "en", "a", 0), (3, "", "en", "a", 0)]
+    out = near_copies.one_of_each(spark.createDataFrame(rows, DOCS).withColumn("__digest", F.lit(1)).withColumn("Ident", F.lit(2)))
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(7, text(1)), (7, text(2)), (0, text(3)), (3, "")]) and len(out.columns) == 7
+
+
 def test_language_evidence(spark, docs, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(d.filter("doc_id % 2 = 0"), "text", "lang")
@@ -379,6 +389,57 @@ def test_language_evidence(spark, docs, none):
     assert tuple(r) == ("fr", "www.x.example.de", "fr")
 
 
+def brute_grams(text):
+    """Every run of 2, 3 and 4 symbols, as a count of strings."""
+    flat = "".join(c if "a" <= c <= "z" or ord(c) >= 170 and c not in "×÷" else " " for c in text.lower())
+    joined = f" {' '.join(flat.split(' '))} " if flat.strip() else ""
+    joined = re.sub(" +", " ", joined)
+    return sum(max(0, len(joined) - n + 1) for n in (2, 3, 4))
+
+
+def test_pieces_of_a_long_text_are_its_whole(monkeypatch):
+    text = "Über  den Wolken, 12 muss die Freiheit -- wohl grenzenlos sein! " * 5 + "..."
+    whole = np.sort(langid.grams(text))
+    assert len(whole) == brute_grams(text)
+    for piece in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert np.array_equal(np.sort(langid.grams(text)), whole) and not len(langid.grams(" 12 . ")) and not len(langid.grams(""))
+
+
+def test_declared_language_address_and_priors_decide_where_the_text_does_not(spark):
+    """fused() against the same sums in plain Python, on rows whose text says little or the contrary."""
+    languages, trust, weight = ["de", "en"], 0.9, 4.0
+    rows = [("h.a.de", None, None, [0.0, 0.0], 5, 0.0)] + [("h.a.de", None, None, [-1.0, -90.0], 50, 0.0)] * 6 + [
+        ("x.b.com", None, None, [-9.0, -8.0], 5, 0.0), ("x.b.com", "de", None, [-9.0, -8.0], 5, 0.0), ("y.b.com", None, "de", [-9.0, -8.5], 5, 0.0), ("y.b.com", "fr", "fr", [-9.0, -8.5], 5, 0.0),
+        ("x.b.com", "de", None, [-90.0, -9.0], 50, 0.0), (None, None, None, [0.0, 0.0], 0, None), ("z.c.com", "en", "de", [-5.0, -5.0], 5, 0.0),
+    ]
+    table = [(i, *r) for i, r in enumerate(rows)]
+    d = spark.createDataFrame(table, "id long, host string, declared string, address string, likely array<double>, n_grams long, fit double")
+    got = {r.id: (r.language, r.confidence) for r in langid.fused(d, languages, trust).collect()}
+    soft = lambda xs: [np.exp(x - max(xs)) / sum(np.exp(y - max(xs)) for y in xs) for x in xs]
+    counts = {}
+    levels = lambda h: [("all",), ("suffix", h.split(".")[-1]), ("domain", ".".join(h.split(".")[-2:])), ("host", h)]
+    for _, host, _, _, likely, n, _ in table:
+        if n:
+            for key in levels(host or ""):
+                counts[key] = [a + b for a, b in zip(counts.get(key, [0, 0]), soft(likely))]
+    for i, host, declared, address, likely, n, _ in table:
+        prior = None
+        for key in levels(host or ""):
+            c = counts.get(key, [0, 0])
+            raw = [x + 1 for x in c] if prior is None else [x + weight * p for x, p in zip(c, prior)]
+            prior = [x / sum(raw) for x in raw]
+        if not n:
+            prior = [0.5, 0.5]
+        said = lambda c, right: [0, 0] if c not in languages else [np.log(right if x == c else (1 - right)) for x in languages]
+        logs = [sum(x) for x in zip(likely, np.log(prior), said(declared, trust), said(address, trust / 2 + 0.25))]
+        post = soft(logs)
+        assert got[i] == (languages[int(np.argmax(post))], pytest.approx(max(post), rel=1e-9)), i
+    assert got[0][0] == "de" and got[7][0] == "en" and got[8][0] == "de" and got[11][0] == "en"
+    assert langid.plain("a<SCRIPT>var x</script>&eacute;<!-- no -->") == "a é "
+    assert spark.range(1).select(langid.address_language(F.lit("http://www.x.co.at/a"), languages)).first()[0] == "de"
+
+
 def test_copies_teach_a_language_once(spark):
     rng = random.Random(4)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
