@@ -54,7 +54,7 @@ def column_of(df: DataFrame, name: str) -> str:
     return next((c for c in df.columns if c.lower() == name.lower()), name)
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, times: str, total: int) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str | list[str], times: str, total: int) -> DataFrame:
     """The inner join of rows with table, which has one row for each key and in `times` how often rows has it.
 
     Keys of more than a thousandth of the total (so fewer than a thousand of them) are sent to every task, so no task
@@ -62,7 +62,7 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, times: str, total: in
     """
     most = max(1_000, total // 1_000)
     often, seldom = F.broadcast(table.filter(F.col(times) > most).drop(times)), table.filter(F.col(times) <= most).drop(times)
-    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
+    return rows.join(often, key).unionByName(rows.join(often.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(seldom, key))
 
 
 def chunks(column: pa.Array, most: int = 1_000_000):

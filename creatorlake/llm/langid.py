@@ -15,6 +15,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,8 +104,9 @@ def fit(labelled: DataFrame, text: str, language: str, most_rows: int = 4_000, s
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["l", "g", "n"])
 
     counts = np.zeros((len(names), BUCKETS))
-    for r in sample.mapInArrow(run, "l string, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas().itertuples():
-        counts[names.index(r.l), r.g] = r.n
+    found = sample.mapInArrow(run, "l string, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
+    at = pc.index_in(found.column("l"), value_set=pa.array(names, pa.string())).to_numpy()
+    counts[at, found.column("g").to_numpy()] = found.column("n").to_numpy()
     taught = counts.sum(axis=1) > 0
     if not taught.any():
         return Model(["und"], np.zeros((1, BUCKETS), np.float32), np.zeros(1), np.ones(1))

@@ -228,12 +228,12 @@ def grouped(scanned: DataFrame, ident: str, limit: int, masks: list[int], width:
     """near_duplicates from a table of ident, g0, g1, ... and further columns, which are kept."""
     names = [f"g{k}" for k in range(width)]
     node = F.monotonically_increasing_id().alias("node")
-    nodes = written(scanned.groupBy(*names).agg(F.min(ident).alias("first_id")).select("*", node), "nodes")
+    nodes = written(scanned.groupBy(*names).agg(F.min(ident).alias("first_id"), F.count(F.lit(1)).alias("times")).select("*", node), "nodes")
     found = components(links(nodes.select("node", *names), masks, limit, width))
     member = written(nodes.join(found, "node").select("root", *names, "first_id"), "members")
     smallest = written(member.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("times")), "smallest")
     in_group = looked_up(member, smallest, "root", "times", member.count()).select(*names, "component_id")
-    of_node = nodes.join(in_group, names, "left").select(*names, F.coalesce("component_id", "first_id").alias("component_id"))
+    of_node = nodes.join(in_group, names, "left").select(*names, "times", F.coalesce("component_id", "first_id").alias("component_id"))
     hexed = F.concat(*[F.lower(F.lpad(F.hex(F.col(g).bitwiseXOR(F.shiftrightunsigned(g, 1))), 16, "0")) for g in names])
     rest = [c for c in scanned.columns if c not in names]
-    return scanned.join(of_node, names).select(*rest, hexed.alias("fingerprint"), "component_id")
+    return looked_up(scanned, written(of_node, "groups"), names, "times", scanned.count()).select(*rest, hexed.alias("fingerprint"), "component_id")
