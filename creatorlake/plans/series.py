@@ -171,11 +171,11 @@ def i7_rewatch_correction(table):
     return c.select("user_id", right(a).alias("entry"), right(F.col("c")[50]).alias("middle"), F.round(z, 6).alias("terminal"))
 
 
-@query(f"WITH {CURVES_SQL}, w AS (SELECT unnest([0, 10, 30, 60])::INT AS a, unnest([10, 30, 60, 99])::INT AS b) SELECT user_id, a, b, round((c[b + 1] - c[a + 1]) / (b - a), 6) AS slope FROM curve CROSS JOIN w")
+@query(f"WITH {CURVES_SQL}, w AS (SELECT unnest([0, 10, 30, 60])::INT AS a, unnest([10, 30, 60, 99])::INT AS b) SELECT user_id, a, b, round((c[b + 1] - c[a + 1]) / (b - a), 9) AS slope FROM curve CROSS JOIN w")
 def i14_slope_matrix(table):
     spec = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 10), (10, 30), (30, 60), (60, 99))])
     x = curves(table).select("user_id", "c", F.explode(spec).alias("w")).select("user_id", "c", "w.*")
-    return x.select("user_id", "a", "b", F.round((F.get("c", F.col("b")) - F.get("c", F.col("a"))) / (F.col("b") - F.col("a")), 6).alias("slope"))
+    return x.select("user_id", "a", "b", F.round((F.get("c", F.col("b")) - F.get("c", F.col("a"))) / (F.col("b") - F.col("a")), 9).alias("slope"))
 
 
 @query(f"""WITH {VIDEOS_SQL}, v AS (SELECT source, views, kind = '1-URGENT' AS m FROM videos), t AS (SELECT avg(views) FILTER (WHERE m) AS m1, avg(views) FILTER (WHERE NOT m) AS m0, count(*) FILTER (WHERE m) AS n1, count(*) FILTER (WHERE NOT m) AS n0 FROM v),
