@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import datetime
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -95,6 +97,12 @@ def _ip(value: str, key: bytes) -> str | None:
     return ".".join(str(b) for b in permuted(int.from_bytes(bytes(parts), "big"), 2**32, key, "ip").to_bytes(4, "big"))
 
 
+@cache
+def _late_days() -> list[int]:
+    """The days after the 12th of their month, in order."""
+    return [d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12]
+
+
 def _date(value: str, key: bytes) -> str | None:
     """Day-first, or month-first where that alone is a date; the order stays."""
     for form in ("%Y-%m-%d",) if "-" in value else ("%d/%m/%Y", "%m/%d/%Y") if "/" in value else ("%d.%m.%Y",):
@@ -102,6 +110,10 @@ def _date(value: str, key: bytes) -> str | None:
             day = datetime.datetime.strptime(value, form).date().toordinal()
         except ValueError:
             continue
+        if FIRST_DAY <= day <= LAST_DAY and form == "%m/%d/%Y":
+            # only days after the 12th are written so; they are permuted among themselves, apart from what day-first dates become
+            late = _late_days()
+            return datetime.date.fromordinal(late[permuted(bisect_left(late, day), len(late), key, "month-first")]).strftime(form)
         if FIRST_DAY <= day <= LAST_DAY:
             new = datetime.date.fromordinal(FIRST_DAY + permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
             return new.strftime(form)

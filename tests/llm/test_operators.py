@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy, with nulls, empty texts, copies and empty tables."""
 
+import datetime
 import glob
 import hashlib
 import random
@@ -230,6 +231,9 @@ def test_pseudonyms_keep_formats_and_links(spark, docs, none):
     assert len(card) == 16 and pii.luhn(card[:-1]) == int(card[-1])
     for size in (1, 2, 10, 26, 97, 1000):
         assert sorted(pii.permuted(x, size, b"k", "t") for x in range(size)) == list(range(size))
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(i) for i in range(0, 3000, 3)]
+    slashed = {d.strftime(f) for d in days for f in ("%d/%m/%Y", "%m/%d/%Y")}
+    assert len({pii.RULES["date"](x, b"k") for x in slashed}) == len(slashed) > len(days)
     numbers = [f"{x:012d}" for x in range(2000)]
     assert len({pii.RULES["account"](x, b"k") for x in numbers}) == 2000
     assert pii.RULES["iban"]("DE89370400440532013000", b"k") != "DE89370400440532013000" and pii.RULES["iban"]("DE00370400440532013000", b"k") is None
