@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators."""
 
-from creatorlake.plans import aggregates, curves, gates, inference, more, relational, series, statistics, structure, text  # noqa: F401
+from creatorlake.plans import aggregates, curves, evaluation, gates, inference, more, relational, series, statistics, structure, text  # noqa: F401
 from creatorlake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
