@@ -172,18 +172,6 @@ def k16_mechanism_grid(table):
     return s.filter("n >= 20").select("mechanism", "n", F.round(F.col("s.cov") / F.sqrt(var * F.col("all") * F.col("vq")), 6).alias("rho"))
 
 
-@query(f"WITH {WEIGHTED_SQL}, c AS (SELECT status, kind, sum(weight) AS w FROM w GROUP BY 1, 2), p AS (SELECT status, kind, w / sum(w) OVER () AS p, sum(w) OVER (PARTITION BY status) / sum(w) OVER () AS a, sum(w) OVER (PARTITION BY kind) / sum(w) OVER () AS b, max(w) OVER (PARTITION BY status) / sum(w) OVER () AS top FROM c), s AS (SELECT sum(p * ln(p / (a * b))) AS mi, -sum(p * ln(a)) AS ha, -sum(p * ln(b)) AS hb FROM p) SELECT round(mi, 9) AS mi, round(2 * mi / (ha + hb), 9) AS nmi, round(ha + hb - 2 * mi, 6) AS vi FROM s")
-def l10_weighted_contingency(table):
-    """Mutual information of two partitions, its normalised form and the variation of information, all sources of equal weight."""
-    c = weighted(table).groupBy("status", "kind").agg(F.sum("weight").alias("w"))
-    a, b, t = c.groupBy("status").agg(F.sum("w").alias("wa")), c.groupBy("kind").agg(F.sum("w").alias("wb")), c.agg(F.sum("w").alias("all"))
-    m = c.join(F.broadcast(a), "status").join(F.broadcast(b), "kind").join(F.broadcast(t), F.lit(True))
-    p, pa, pb = F.col("w") / F.col("all"), F.col("wa") / F.col("all"), F.col("wb") / F.col("all")
-    s = m.agg(F.sum(p * F.log(p / (pa * pb))).alias("mi"), (-F.sum(p * F.log(pa))).alias("ha"), (-F.sum(p * F.log(pb))).alias("hb"))
-    both = F.col("ha") + F.col("hb")
-    return s.select(F.round("mi", 9).alias("mi"), F.round(2 * F.col("mi") / both, 9).alias("nmi"), F.round(both - 2 * F.col("mi"), 6).alias("vi"))
-
-
 @query(f"WITH {WEIGHTED_SQL}, m AS (SELECT 'status' AS map, status AS cluster, weight, y FROM w UNION ALL SELECT 'kind', kind, weight, y FROM w), c AS (SELECT map, cluster, count(*) AS n, sum(weight) AS w, sum(weight * y) AS wy, sum(weight * y * y) AS wyy FROM m GROUP BY 1, 2) SELECT map, count(*) AS clusters, round(max(n) / sum(n), 6) AS largest, round((sum(wy * wy / w) - sum(wy) * sum(wy) / sum(w)) / (sum(wyy) - sum(wy) * sum(wy) / sum(w)), 6) AS eta2 FROM c GROUP BY 1")
 def l19_partition_summary(table):
     """Clusters of each map, the share of the largest, and how much of the outcome they account for with sources of equal weight."""
