@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creatorlake.operators.statistics import corr
-from creatorlake.operators.windows import with_average_rank
+from creatorlake.operators.windows import quantiles, value_class, value_places, with_average_rank
 
 
 def unpivoted(df: DataFrame, ident: str, metrics: list[str], target: Column) -> DataFrame:
@@ -15,15 +15,18 @@ def unpivoted(df: DataFrame, ident: str, metrics: list[str], target: Column) ->
 
 
 def order_in_metric(df: DataFrame, by: list[str] = ["metric"], value: str = "value", ident: str = "video_id") -> DataFrame:
-    """df with place (from 0, by value then ident) and n of each group.
+    """df with place (from 0, by value then ident) and n of each group; rows with a null value or ident are left out.
 
-    Values are counted first and the counts summed up in order; only rows of one value meet in a window.
+    Rows of smaller values are counted by value_places. Rows of one value are split by classes of the ident, whose counts are
+    summed up in order, so that only rows of one value and class meet in a window.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    over = Window.partitionBy(*by)
-    below = counts.withColumn("__below", F.coalesce(F.sum("__c").over(over.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("__c").over(over)).drop("__c")
-    inside = F.row_number().over(Window.partitionBy(*by, value).orderBy(ident)) - 1
-    return df.withColumn("__in", inside).join(below, [*by, value]).withColumn("place", F.col("__below") + F.col("__in")).drop("__below", "__in")
+    rows = df.filter(F.col(ident).isNotNull()).withColumn("__class", F.shiftright(value_class(F.col(ident)), 22))
+    below = value_places(rows, value, *by)
+    ties = rows.groupBy(*by, value, "__class").agg(F.count(F.lit(1)).alias("__t"))
+    before = F.coalesce(F.sum("__t").over(Window.partitionBy(*by, value).orderBy("__class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = ties.withColumn("__before", before).join(below, [*by, value]).select(*by, value, "__class", (F.col("__below") + F.col("__before")).alias("__start"), F.col("__n").alias("n"))
+    inside = F.row_number().over(Window.partitionBy(*by, value, "__class").orderBy(ident)) - 1
+    return rows.withColumn("__in", inside).join(start, [*by, value, "__class"]).withColumn("place", F.col("__start") + F.col("__in")).drop("__start", "__in", "__class")
 
 
 def buckets(df: DataFrame, k: int, by: list[str] = ["metric"]) -> DataFrame:
@@ -70,7 +73,7 @@ def pair_correlation(df: DataFrame) -> DataFrame:
 def conditional_delta(df: DataFrame) -> DataFrame:
     """r of a and the target where b is above its median, minus r where it is not."""
     p = pairs(df)
-    mid = df.groupBy(F.col("metric").alias("b")).agg(F.percentile("value", 0.5).alias("mid"))
+    mid = quantiles(df, "value", {"mid": 0.5}, "metric").withColumnRenamed("metric", "b")
     r = lambda hit: corr(F.when(hit, F.col("va")), F.when(hit, F.col("target")))
     high = F.col("vb") > F.col("mid")
     return p.join(mid, "b").groupBy("a", "b").agg((r(high) - r(~high)).alias("delta"))

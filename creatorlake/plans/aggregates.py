@@ -31,31 +31,37 @@ def d3_magnitude_histogram(table):
 @query("SELECT count(*) AS n, count(text) AS stored, sum(octet_length(encode(coalesce(text, '')))) AS bytes, count(*) FILTER (n_chars >= 3 * (SELECT median(n_chars) FROM documents)) AS outliers FROM documents")
 def d4_corpus_statistics(table):
     d = table("documents")
-    mid = F.broadcast(d.agg(F.median("n_chars").alias("mid")))
+    mid = F.broadcast(W.quantiles(d.select("n_chars"), "n_chars", {"mid": 0.5}))
     return d.select("n_chars", F.octet_length("text").alias("b")).join(mid).agg(F.count(F.lit(1)).alias("n"), F.count("b").alias("stored"), F.sum(F.coalesce("b", F.lit(0))).cast("decimal(38,0)").alias("bytes"), F.count_if(F.col("n_chars") >= 3 * F.col("mid")).alias("outliers"))
 
 
 @query(f"WITH {VIDEOS_SQL} SELECT CASE WHEN quantity < 20 THEN 0 WHEN quantity < 60 THEN 1 WHEN quantity < 120 THEN 2 ELSE 3 END AS bin, count(*) AS n, round(quantile_cont(views, 0.25), 6) AS p25, round(median(views), 6) AS p50, round(quantile_cont(views, 0.75), 6) AS p75 FROM videos GROUP BY 1")
 def d5_binned_quantiles(table):
     q = F.col("quantity")
-    p = F.percentile("views", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = videos(table).groupBy(F.when(q < 20, 0).when(q < 60, 1).when(q < 120, 2).otherwise(3).alias("bin")).agg(F.count(F.lit(1)).alias("n"), p.alias("p"))
-    return a.select("bin", "n", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+    v = videos(table).select("views", F.when(q < 20, 0).when(q < 60, 1).when(q < 120, 2).otherwise(3).alias("bin"))
+    p = W.quantiles(v, "views", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, "bin")
+    return v.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).join(p, "bin", "left").select("bin", "n", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")])
 
 
 @query(f"WITH {VIDEOS_SQL}, q AS (SELECT quantile_cont(quantity, 0.25) AS a, median(quantity) AS b, quantile_cont(quantity, 0.75) AS c FROM videos) SELECT (quantity > a)::INT + (quantity > b)::INT + (quantity > c)::INT AS bin, count(*) AS n, round(median(views), 3) AS mid FROM videos, q GROUP BY 1")
 def d6_quantile_bins(table):
     v = videos(table).select("quantity", "views")
-    edges = F.broadcast(v.agg(F.percentile("quantity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")))
-    return v.join(edges).groupBy(F.size(F.filter("q", lambda e: F.col("quantity") > e)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median("views"), 3).alias("mid"))
+    edges = F.broadcast(W.quantiles(v, "quantity", {"a": 0.25, "b": 0.5, "c": 0.75}))
+    binned = v.join(edges).select("views", sum((F.col("quantity") > F.col(e)).cast("int") for e in "abc").alias("bin"))
+    mid = W.quantiles(binned, "views", {"mid": 0.5}, "bin")
+    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).join(mid, "bin", "left").select("bin", "n", F.round("mid", 3).alias("mid"))
 
 
 @query(f"WITH {VIDEOS_SQL}, q AS (SELECT median(quantity) AS a, median(discount) AS b FROM videos) SELECT (quantity > a)::INT AS qa, (discount > b)::INT AS qb, count(*) AS n, round(median(views), 3) AS mid FROM videos, q GROUP BY CUBE (1, 2)")
 def d7_two_way_grid(table):
     v = videos(table).select("quantity", "discount", "views")
-    mid = F.broadcast(v.agg(F.median("quantity").alias("a"), F.median("discount").alias("b")))
+    mid = F.broadcast(W.quantiles(v, "quantity", {"a": 0.5}).join(F.broadcast(W.quantiles(v, "discount", {"b": 0.5}))))
     g = v.join(mid).select((F.col("quantity") > F.col("a")).cast("int").alias("qa"), (F.col("discount") > F.col("b")).cast("int").alias("qb"), "views")
-    return g.cube("qa", "qb").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("views"), 3).alias("mid"))
+    # -1 stands for any: the four sets of the cube
+    cells = [(a, b) for a in (F.col("qa"), F.lit(-1)) for b in (F.col("qb"), F.lit(-1))]
+    each = g.select("views", F.explode(F.array(*[F.struct(a.alias("qa"), b.alias("qb")) for a, b in cells])).alias("c")).select("views", "c.qa", "c.qb")
+    counted = each.groupBy("qa", "qb").agg(F.count(F.lit(1)).alias("n")).join(W.quantiles(each, "views", {"mid": 0.5}, "qa", "qb"), ["qa", "qb"], "left")
+    return counted.select(F.nullif("qa", F.lit(-1)).alias("qa"), F.nullif("qb", F.lit(-1)).alias("qb"), "n", F.round("mid", 3).alias("mid"))
 
 
 @query(f"WITH {LONG_SQL} SELECT CASE WHEN target < 5 THEN 'low' WHEN target < 5.3 THEN 'mid' ELSE 'high' END AS regime, metric, round(avg(value), 5) AS mean, min(value) AS lowest, max(value) AS highest FROM long GROUP BY 1, 2")

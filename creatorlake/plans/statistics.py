@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from creatorlake.operators import experiments as X
 from creatorlake.operators import statistics as S
-from creatorlake.operators.windows import with_average_rank
+from creatorlake.operators.windows import quantiles, with_average_rank
 from creatorlake.plans.panel import LONG_SQL, PLACED_SQL, VIDEOS_SQL, bucket_sql, metric_values, videos
 from creatorlake.plans.registry import query
 
@@ -162,7 +162,8 @@ def j35_threshold_risk(table):
     base = v.agg(F.count(F.lit(1)).alias("n_all"), F.count_if("hit").alias("hits_all"))
     # each row goes to the thresholds that it passes, four at most
     passed = v.select("*", F.explode(F.filter(F.array(*[F.lit(t) for t in (20, 60, 100, 140)]), lambda t: F.col("quantity") >= t)).alias("threshold"))
-    a = passed.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("h"), F.round(F.median("views"), 1).alias("median_views")).join(F.broadcast(base))
+    mid = quantiles(passed, "views", {"m": 0.5}, "threshold").select("threshold", F.round("m", 1).alias("median_views"))
+    a = passed.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("h")).join(mid, "threshold", "left").join(F.broadcast(base))
     return a.select("threshold", F.round(F.col("n") / F.col("n_all"), 6).alias("pass_rate"), F.round(F.col("h") / F.col("n"), 6).alias("hit_rate"), F.round(F.col("h") / F.col("n") / (F.col("hits_all") / F.col("n_all")), 6).alias("lift"), F.round(F.col("h") / F.col("hits_all"), 6).alias("recall"), "median_views")
 
 
