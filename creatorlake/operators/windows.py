@@ -23,14 +23,14 @@ def _sum_before(count: str, by: list[str], order: str) -> Column:
     return F.coalesce(F.sum(count).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def value_places(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """(by, value, __c, __below, __n): for each number of a group its rows, the rows with smaller ones, and all rows of the group.
+def value_places(df: DataFrame, value: str, *by: str, weight: Column | None = None) -> DataFrame:
+    """(by, value, __c, __below, __n): for each number of a group its rows, the rows with smaller ones, and all rows of the group; with a weight, its sums instead.
 
     Running counts are made in three steps, over coarse classes of the numbers of a group, over fine classes of a coarse one and over the
     numbers of a fine class. By the width of a double each of these windows holds at most some millions of counts, whatever the
     group's size or spread. Null numbers and rows with a null in `by` are left out.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__c"))
     counts = counts.withColumn("__fine", value_class(F.col(value))).withColumn("__coarse", F.shiftright("__fine", 22))
     fine = counts.groupBy(*by, "__coarse", "__fine").agg(F.sum("__c").alias("__cf"))
     coarse = fine.groupBy(*by, "__coarse").agg(F.sum("__cf").alias("__cc"))

@@ -72,8 +72,11 @@ def d8_regime_statistics(table):
 
 @query("SELECT p_brand AS mech, count(*) AS n, count(DISTINCT l_orderkey) AS videos, list_sort(list_distinct(list(l_returnflag))) AS kinds, list_sort(list_distinct(list(p_partkey)))[1:3] AS samples FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand")
 def d9_mechanism_catalog(table):
-    rows = table("lineitem").join(table("part"), F.col("p_partkey") == F.col("l_partkey"))
-    return rows.groupBy(F.col("p_brand").alias("mech")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_orderkey").alias("videos"), F.sort_array(F.collect_set("l_returnflag")).alias("kinds"), F.slice(F.sort_array(F.collect_set("p_partkey")), 1, 3).alias("samples"))
+    rows = table("lineitem").join(table("part"), F.col("p_partkey") == F.col("l_partkey")).withColumnRenamed("p_brand", "mech")
+    smallest = W.latest(rows.select("mech", "p_partkey").distinct(), ["mech"], [F.col("p_partkey")], 3)
+    samples = smallest.groupBy("mech").agg(F.sort_array(F.collect_list("p_partkey")).alias("samples"))
+    counted = rows.groupBy("mech").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_orderkey").alias("videos"), F.sort_array(F.collect_set("l_returnflag")).alias("kinds"))
+    return counted.join(samples, "mech")
 
 
 @query("WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(trim(lower(text)), '\\s+')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln((n + 1) / (count(*) + 1)), 6) AS idf, round(count(*) / n, 6) AS prevalence FROM w, n GROUP BY term, n HAVING count(*) >= 20")
@@ -149,20 +152,12 @@ def e2_empirical_percentile(table):
 
 @query("SELECT o_orderkey, (SELECT count(*) FROM customer WHERE c_acctbal <= o_totalprice / 30) / (SELECT count(*) FROM customer) AS share FROM orders")
 def e3_percentile_of_reference(table):
-    """The reference is cut into value buckets: counts below a bucket are summed up, and a value meets only its own bucket's rows."""
-    width = 500.0
-    at = lambda c: F.floor(c / width).cast("long")
-    ref = table("customer").select(F.col("c_acctbal").alias("v"))
-    per = ref.groupBy(at(F.col("v")).alias("b")).agg(F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list("v")).alias("vs"))
-    upto = per.withColumn("below", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("next", F.lead("b").over(Window.orderBy("b")))
+    """Values asked for stand among the reference's with no weight: one running count gives the rows at or below each."""
+    ref = table("customer").select(F.col("c_acctbal").alias("x"), F.lit(1).alias("w"))
+    asked = table("orders").select("o_orderkey", (F.col("o_totalprice") / 30).alias("x"))
+    upto = W.value_places(ref.unionByName(asked.select("x", F.lit(0).alias("w"))), "x", weight=F.col("w")).select("x", (F.col("__below") + F.col("__c")).alias("k"))
     total = F.broadcast(ref.agg(F.count(F.lit(1)).alias("n")))
-    o = table("orders").select("o_orderkey", (F.col("o_totalprice") / 30).alias("x"))
-    last = F.broadcast(upto.agg(F.min("b").alias("lo"), F.max("b").alias("hi")))
-    spread = upto.select(F.explode(F.sequence("b", F.coalesce(F.col("next") - 1, "b"))).alias("q"), "b", "c", "vs", "below")
-    o = o.join(last).withColumn("q", F.least(at(F.col("x")), "hi"))
-    hit = o.join(spread, "q", "left")
-    inside = F.when(F.col("q") == F.col("b"), F.size(F.filter("vs", lambda v: v <= F.col("x")))).otherwise(F.col("c"))
-    return hit.join(total).select("o_orderkey", (F.coalesce(F.col("below") + inside, F.lit(0)) / F.col("n")).alias("share"))
+    return asked.join(upto, "x", "left").join(total).select("o_orderkey", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("share"))
 
 
 @query("SELECT o_orderkey, round(o_totalprice / nullif(list_sort(prev)[len(prev) // 2 + 1], 0), 6) AS outlier FROM (SELECT o_orderkey, o_totalprice, list(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS prev FROM orders)")

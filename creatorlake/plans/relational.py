@@ -95,7 +95,9 @@ def b8_biased_pool(table):
     """70 to 30 from two ranked streams."""
     rows = table("lineitem").filter(F.col("l_returnflag").isin("A", "R"))
     i = F.row_number().over(Window.partitionBy("l_returnflag").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"))
-    return rows.select(F.col("l_returnflag").alias("layer"), "l_orderkey", "l_linenumber", i.cast("long").alias("i")).filter(F.col("i") <= F.when(F.col("layer") == "A", 70).otherwise(30))
+    # the plain bound is kept before the shuffle, the share of each layer after it
+    first = rows.select(F.col("l_returnflag").alias("layer"), "l_orderkey", "l_linenumber", i.cast("long").alias("i"), i.alias("place")).filter("place <= 70")
+    return first.filter(F.col("i") <= F.when(F.col("layer") == "A", 70).otherwise(30)).drop("place")
 
 
 @query("SELECT event_type AS metric, count(DISTINCT value) AS kinds, count(*) FILTER (value <> 0) AS non_zero FROM events GROUP BY event_type HAVING count(DISTINCT value) > 1 AND count(*) FILTER (value <> 0) > 10")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from creatorlake.operators import experiments as X
 from creatorlake.operators import statistics as S
-from creatorlake.operators.windows import quantiles, with_average_rank
+from creatorlake.operators.windows import quantiles, value_places, with_average_rank
 from creatorlake.plans.panel import LONG_SQL, PLACED_SQL, VIDEOS_SQL, bucket_sql, metric_values, videos
 from creatorlake.plans.registry import query
 
@@ -108,15 +108,11 @@ def j27_roc_auc(table):
 c AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY kind ORDER BY i) AS h FROM o)
 SELECT kind, round(avg(h / i), 6) AS ap FROM c WHERE hit GROUP BY kind""")
 def j29_average_precision(table):
-    from pyspark.sql import Window
-
     v = videos(table).withColumn("hit", F.col("views") > 150000)
     placed = X.order_in_metric(v.withColumn("down", -F.col("quantity")), ["kind"], "down")
-    # hits up to each row: sums over values first, so that only rows of one value meet in a window
-    by_value = placed.groupBy("kind", "down").agg(F.count_if("hit").alias("h"))
-    before = by_value.withColumn("before", F.coalesce(F.sum("h").over(Window.partitionBy("kind").orderBy("down").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("h")
-    inside = F.count_if("hit").over(Window.partitionBy("kind", "down").orderBy("video_id"))
-    return placed.withColumn("here", inside).join(before, ["kind", "down"]).filter("hit").groupBy("kind").agg(F.round(F.avg((F.col("before") + F.col("here")) / (F.col("place") + 1)), 6).alias("ap"))
+    # places are distinct: a hit's precision is the hits before it and itself over its place
+    hits = value_places(placed.filter("hit"), "place", "kind")
+    return hits.groupBy("kind").agg(F.round(F.avg((F.col("__below") + 1) / (F.col("place") + 1)), 6).alias("ap"))
 
 
 PRED = f"WITH {VIDEOS_SQL}, pred AS (SELECT *, avg(views) OVER (PARTITION BY kind) AS guess FROM videos)"
