@@ -9,6 +9,7 @@ can reach the k-th best.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from math import ceil, isqrt, log2
 
@@ -95,8 +96,8 @@ class Tree:
                 stack += [(rows[left], at, 0), (rows[~left], at, 1)]
         self.low, self.high = np.array(self.low), np.array(self.high)
 
-    def search(self, q: np.ndarray, bounds: list[float], ids: list[list[int]], k: int, least: float | None) -> list[tuple[int, int]]:
-        """(-score, id) of the k best, those below `least` left out; ties to smaller ids."""
+    def search(self, q: np.ndarray, bounds: list[float], ids: list[list[int]], k: int, least: float | None, each: int) -> list[tuple[int, int]]:
+        """(-score, id) of the k best, at most `each` of one id, those below `least` left out; ties to smaller ids."""
         best: list[tuple[int, int]] = []
         heap = [(-bounds[0], 0)]
         while heap:
@@ -111,12 +112,24 @@ class Tree:
             scores = self.points[rows] @ q
             keep = range(len(rows)) if least is None else np.flatnonzero(scores >= least)
             best += [(-int(scores[i]), x) for i in keep for x in ids[rows[i]]]
-            best = heapq.nsmallest(k, best)
+            best = first_of_each(sorted(best), k, each)
             if len(best) == k:
                 least = -best[-1][0] if least is None else max(least, -best[-1][0])
         return best
 
 
+def first_of_each(found: list[tuple[int, int]], k: int, each: int) -> list[tuple[int, int]]:
+    """The first k of a sorted list, at most `each` of one id."""
+    seen, out = Counter(), []
+    for score, ident in found:
+        if seen[ident] < each:
+            seen[ident] += 1
+            out.append((score, ident))
+            if len(out) == k:
+                break
+    return out
+
+
 def box_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The highest inner product that any point of each box can have with each query."""
     return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
@@ -133,8 +146,8 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _visits(shards: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
-    """(node, score, vec_id): up to k best of each query in each shard it visits.
+def _visits(shards: DataFrame, queries: DataFrame, dim: int, k: int, each: int) -> DataFrame:
+    """(node, score, vec_id): up to k best of each query in each shard it visits, at most `each` of one id.
 
     shards: shard, v, ids; queries: shard, node, v, least. A task holds the tree of one shard; queries stream past it.
     """
@@ -165,7 +178,7 @@ def _visits(shards: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFram
                 for i in range(0, len(points), 256):
                     block = points[i : i + 256]
                     for q, bounds, node, least in zip(block, box_bounds(block, tree.low, tree.high).tolist(), part.column(4)[i : i + 256].to_pylist(), part.column(5)[i : i + 256].to_pylist(), strict=True):
-                        out += [(node, -s, x) for s, x in tree.search(q, bounds, ids, k, least)]
+                        out += [(node, -s, x) for s, x in tree.search(q, bounds, ids, k, least, each)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["node", "score", "vec_id"])
 
     return rows.mapInArrow(run, "node long, score long, vec_id long")
@@ -175,16 +188,20 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_id", ve
     """(query_id, rank, vec_id, score): for each row where is_query holds, the k other rows of highest inner product.
 
     Components are floor(scale * x). Ties go to the smaller ident. Rows with a null ident, a null vector or a null or
-    non-finite component take no part; a shorter vector counts as padded with zeros; an ident that comes twice
-    counts once, with its smallest vector. Equal vectors are searched once: of those, only the k + 1 smallest idents can
-    be anyone's answer.
+    non-finite component take no part; a shorter vector counts as padded with zeros. Every row is a candidate, rows that
+    share an ident too; a query's candidates are the rows of other idents, and an ident asked with several vectors has
+    the k best of all of them. Equal vectors are searched once. Where an ident comes m times at most, the first
+    k + min(m, k) rows, at most k of one ident, hold the k best of other idents whichever ident is left out.
     """
     spark = df.sparkSession
     all_rows = df.select(F.col(ident).cast("long").alias("vec_id"), is_query.alias("q"), quantised(F.col(vector), scale).alias("v")).filter("vec_id is not null and v is not null")
-    rows = written(all_rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "vectors")
+    rows = written(all_rows, "vectors")
     dim = int(rows.agg(F.max(F.size("v"))).first()[0] or 0)
-    # at most k + 1 rows of each vector leave a task
-    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("__n") <= k + 1)
+    copies = int(rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0)
+    room = k + min(copies, k)
+    # at most k rows of one ident, then at most `room` rows of each vector leave a task
+    some = rows if copies <= k else rows.withColumn("__n", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))).filter(F.col("__n") <= k)
+    first = some.withColumn("__n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("__n") <= room)
     wanted = rows.filter("q").select("v").distinct()
     nodes = first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).join(wanted.withColumn("asked", F.lit(True)), "v", "left")
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -201,8 +218,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_id", ve
 
     shards = written(nodes.select("v", "ids", "node", "asked").mapInArrow(dealt, "shard int, v array<long>, ids array<long>, node long, asked boolean"), "shards")
     queries = shards.filter("asked").select("shard", "node", "v")
-    home = written(_visits(shards, queries.withColumn("least", F.lit(None).cast("double")), dim, k + 1), "home")
-    worst = home.groupBy("node").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).cast("double").alias("least"))
+    home = written(_visits(shards, queries.withColumn("least", F.lit(None).cast("double")), dim, room, k), "home")
+    worst = home.groupBy("node").agg(F.when(F.count(F.lit(1)) == room, F.min("score")).cast("double").alias("least"))
     boxes = _boxes(shards, dim)
     sent_boxes = spark.sparkContext.broadcast(boxes)
 
@@ -218,14 +235,18 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_id", ve
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[box].astype(np.int32)), *picked.columns[1:]], names=["shard", "node", "v", "least"])
 
     away = queries.join(worst, "node", "left").select("shard", "node", "v", "least").mapInArrow(reach, "shard int, node long, v array<long>, least double")
-    found = home.union(_visits(shards, away, dim, k + 1))
+    found = home.union(_visits(shards, away, dim, room, k))
+    if copies > k:
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy("node", "vec_id").orderBy(F.desc("score")))).filter(F.col("n") <= k)
     by_node = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("n", F.row_number().over(by_node)).filter(F.col("n") <= k + 1)
+    best = found.withColumn("n", F.row_number().over(by_node)).filter(F.col("n") <= room)
     lists = best.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
     answers = lists.join(nodes.select("node", "v"), "node").select("v", "best")
-    own = rows.filter("q").join(answers, "v").select(F.col("vec_id").alias("query_id"), "best")
+    asked = rows.filter("q").select(F.col("vec_id").alias("query_id"), "v")
     others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return own.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    found = asked.join(answers, "v").select("query_id", F.explode(others).alias("x")).select("query_id", "x.vec_id", "x.score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _boxes(shards: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

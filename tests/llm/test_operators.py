@@ -80,6 +80,20 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 9])
+def test_top_k_keeps_every_row_of_a_repeated_id(spark, copies):
+    rng = np.random.default_rng(copies)
+    rows = [(i, rng.integers(-50, 50, 4).tolist()) for i in range(300)]
+    rows += [(i, (np.array(rows[i][1]) * f).tolist()) for i in (0, 3, 50, 120, 121, 150) for f in range(2, copies + 1)]
+    rows += [(7, rows[9][1])] * copies + [(100, rows[9][1])] * copies + [(250, [0, 0, 0, 0])]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows] + [(None, [1.0] * 4)], "vec_id long, embedding array<double>")
+    want = []
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        found = sorted((-int(np.dot(a, b)), i) for j, a in rows if j == q for i, b in rows if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:5])]
+    assert sorted(map(tuple, topk.top_k(df, F.pmod("vec_id", F.lit(50)) == 0).collect())) == sorted(want)
+
+
 ENC = None
 
 
