@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from creatorlake.llm import langid
 from creatorlake.llm.byte_bpe import Vocabulary, decode, encode
 from creatorlake.llm.common import read, shared_dir
+from creatorlake.llm.conversation_trie import numbered_turns, prefix_trie, with_shared_openings
 from creatorlake.llm.decontamination import contamination
 from creatorlake.llm.pii import pseudonymised
 from creatorlake.llm.secrets import secret_scan
@@ -119,8 +120,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.fused(of_docs.unionByName(of_pages), model.languages).select("doc_id", "page_id", "language", "confidence", "accepted")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*with_shared_openings(numbered_turns(read(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict:
-    both = (op1_token_counts, op2_topk_search, op3_byte_bpe, op4_secret_scan, op5_toxicity, op6_flow_sharding, op7_pii_pseudonyms, op8_decontamination, op9_simhash, op10_language_id)
+    both = (op1_token_counts, op2_topk_search, op3_byte_bpe, op4_secret_scan, op5_toxicity, op6_flow_sharding, op7_pii_pseudonyms, op8_decontamination, op9_simhash, op10_language_id, op13_conversation_trie)
     return {f.__name__: f for f in both}
 
 
@@ -138,6 +143,44 @@ SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
 
+TRIE = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) - 1 AS pos, d, length(text)::BIGINT AS size FROM t
+), bits AS (
+  SELECT conv_id, count(*) AS n, flatten([[4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]) AS b
+  FROM n GROUP BY conv_id
+), c AS (
+  SELECT conv_id, n, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(b, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+  FROM bits
+), o AS (
+  SELECT c.*, least(h, coalesce(b.n, 0)) AS m FROM c LEFT JOIN (SELECT conv_id AS base, n FROM c) b USING (base)
+), r AS (
+  SELECT o.conv_id, n.pos, d, size FROM o JOIN n ON n.conv_id = o.base WHERE n.pos < h
+  UNION ALL SELECT o.conv_id, n.pos - h + m, d, size FROM o JOIN n ON n.conv_id = o.conv_id WHERE n.pos >= h
+), p AS (
+  SELECT conv_id, pos + 1 AS depth, string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path, size FROM r
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), ends AS (
+  SELECT conv_id, max(depth) AS last FROM p GROUP BY conv_id
+), nodes AS (
+  SELECT depth, path, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = last), '') AS ended
+  FROM p JOIN ends USING (conv_id) GROUP BY depth, path
+), kids AS (
+  SELECT a.depth, a.path, count(b.path) AS n_children FROM nodes a LEFT JOIN nodes b ON b.depth = a.depth + 1 AND b.path[:-65] = a.path GROUP BY a.depth, a.path
+), under AS (
+  SELECT a.depth, a.path, sum((b.n_convs - 1) * b.size) AS saved_tokens, count(*) FILTER (k.n_children = 0) AS n_leaves
+  FROM nodes a JOIN nodes b ON starts_with(b.path, a.path) JOIN kids k ON k.depth = b.depth AND k.path = b.path GROUP BY a.depth, a.path
+)
+SELECT a.conv_id, a.depth::BIGINT AS depth, b.conv_id AS parent_conv_id, a.n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, sha256(a.ended) AS ends_sha256
+FROM nodes a JOIN kids USING (depth, path) JOIN under USING (depth, path) LEFT JOIN nodes b ON b.depth = a.depth - 1 AND b.path = a.path[:-65]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others can't be said in SQL; tests hold them against brute force."""
-    return {"op2_topk_search": TOP_K}
+    return {"op2_topk_search": TOP_K, "op13_conversation_trie": TRIE}
