@@ -14,6 +14,7 @@ from creatorlake.llm.byte_bpe import Vocabulary, decode, encode
 from creatorlake.llm.common import read, shared_dir
 from creatorlake.llm.conversation_trie import numbered_turns, prefix_trie, with_shared_openings
 from creatorlake.llm.decontamination import contamination
+from creatorlake.llm.hard_negatives import hard_negatives
 from creatorlake.llm.pii import pseudonymised
 from creatorlake.llm.secrets import secret_scan
 from creatorlake.llm.sharding import layout, rewrite_affected
@@ -120,12 +121,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.fused(of_docs.unionByName(of_pages), model.languages).select("doc_id", "page_id", "language", "confidence", "accepted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, label=moved)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*with_shared_openings(numbered_turns(read(spark, sf_dir, "conversations"))))
 
 
 def queries() -> dict:
-    both = (op1_token_counts, op2_topk_search, op3_byte_bpe, op4_secret_scan, op5_toxicity, op6_flow_sharding, op7_pii_pseudonyms, op8_decontamination, op9_simhash, op10_language_id, op13_conversation_trie)
+    both = (op1_token_counts, op2_topk_search, op3_byte_bpe, op4_secret_scan, op5_toxicity, op6_flow_sharding, op7_pii_pseudonyms, op8_decontamination, op9_simhash, op10_language_id, op11_hard_negatives, op13_conversation_trie)
     return {f.__name__: f for f in both}
 
 
@@ -143,6 +149,23 @@ SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
 
+NEGATIVES = """
+WITH e AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.uid, a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT uid, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS n FROM s WHERE same
+), m AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.uid, n ORDER BY score DESC, s.vec_id) AS r, s.vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (uid) WHERE n <= 5 AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, r::INTEGER AS rank, negative_id, positive_score, negative_score FROM m WHERE r <= 3
+"""
+
+
 TRIE = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(text, '') AS text, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d
@@ -183,4 +206,4 @@ FROM nodes a JOIN kids USING (depth, path) JOIN under USING (depth, path) LEFT J
 
 def oracle_sql() -> dict[str, str]:
     """The others can't be said in SQL; tests hold them against brute force."""
-    return {"op2_topk_search": TOP_K, "op13_conversation_trie": TRIE}
+    return {"op2_topk_search": TOP_K, "op11_hard_negatives": NEGATIVES, "op13_conversation_trie": TRIE}
