@@ -86,8 +86,8 @@ BLOCK = "uids binary, ids binary, labels array<string>, v binary, norms binary,
 FOUND = "uid long, ask int, score long, vec_id long"
 
 
-def _packed(batches: Iterator[pa.RecordBatch], dim: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by label, reference and angle as cells of CELL_ROWS rows, fewer where label or reference change."""
+def _packed(batches: Iterator[pa.RecordBatch], dim: int, width: int, cell_rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by label, reference and angle as cells of cell_rows rows, fewer where label or reference change."""
     ids, labels, refs, points, norms, angles = [], [], [], [], [], []
 
     def cells() -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def _packed(batches: Iterator[pa.RecordBatch], dim: int, width: int) -> Iterator
         at = [np.concatenate(x) for x in (ids, refs, points, norms, angles)]
         cut, start, n = [], 0, len(at[0])
         for i in range(1, n + 1):
-            if i == n or i - start == CELL_ROWS or (i - start >= CELL_ROWS // 8 and (labels[i] != labels[i - 1] or at[1][i] != at[1][i - 1])):
+            if i == n or i - start == cell_rows or (i - start >= cell_rows // 8 and (labels[i] != labels[i - 1] or at[1][i] != at[1][i - 1])):
                 cut.append((start, i))
                 start = i
         rows = []
@@ -120,20 +120,20 @@ def _packed(batches: Iterator[pa.RecordBatch], dim: int, width: int) -> Iterator
         points.append(int_matrix(b["v"], dim))
         norms.append(b["norm"].to_numpy())
         angles.append(np.concatenate([_read(x)[None] for x in b["angles"].to_pylist()]).reshape(-1, width))
-        if sum(map(len, ids)) >= 16 * CELL_ROWS:
+        if sum(map(len, ids)) >= 16 * cell_rows:
             yield from cells()
             for x in (ids, labels, refs, points, norms, angles):
                 x.clear()
     yield from cells()
 
 
-def _blocked(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    """Anchors as blocks of at most BLOCK_ROWS."""
+def _blocked(batches: Iterator[pa.RecordBatch], dim: int, block_rows: int) -> Iterator[pa.RecordBatch]:
+    """Anchors as blocks of at most block_rows."""
     kinds = (pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     names = [x.split()[0] for x in BLOCK.split(", ")]
     for whole in batches:
-        for i in range(0, whole.num_rows, BLOCK_ROWS):
-            b = whole.slice(i, BLOCK_ROWS)
+        for i in range(0, whole.num_rows, block_rows):
+            b = whole.slice(i, block_rows)
             row = (
                 _bytes(b["uid"].to_numpy(), np.int64), _bytes(b["vec_id"].to_numpy(), np.int64), b["label"].to_pylist(), _bytes(int_matrix(b["v"], dim), np.int64), _bytes(b["norm"].to_numpy()),
                 b"".join(b["angles"].to_pylist()), _bytes(np.array(b["lows"].to_pylist(), np.int64), np.int64), _bytes(np.array(b["highs"].to_pylist(), np.int64), np.int64),
@@ -227,6 +227,7 @@ class Cells:
     def __init__(self, rows: DataFrame):
         """rows: uid, vec_id, label, v, and q where a row is an anchor; none null."""
         spark = rows.sparkSession
+        cell_rows = CELL_ROWS
         self.dim = dim = int(rows.agg(F.max(F.size("v"))).first()[0] or 0)
         total = rows.count()
         picked = rows.filter(F.pmod(F.xxhash64("uid"), F.lit(10**6)) < int(min(1.0, SAMPLE_ROWS / max(1, total)) * 10**6)).select("v").limit(SAMPLE_ROWS).toArrow()
@@ -245,7 +246,7 @@ class Cells:
         placed = rows.select("uid", "vec_id", "label", "v", "q")
         self.rows = written(placed.mapInArrow(located, "uid long, vec_id long, label string, v array<long>, q boolean, norm double, angles binary, reference int, own double"), "located")
         by = ["label", "reference", "own", "uid"]
-        packed = self.rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(lambda x: _packed(x, dim, width), CELL)
+        packed = self.rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(lambda x: _packed(x, dim, width, cell_rows), CELL)
         self.cells = written(packed.withColumn("cell", F.monotonically_increasing_id()), "cells")
         self.pages = max(1, ceil(self.cells.count() / PAGE_CELLS))
 
@@ -256,10 +257,10 @@ class Cells:
         reach; each group of cells gives k rows at most for a window. only_first: of each page of cells just the one with
         the highest bound for an anchor, which gives a first score to beat.
         """
-        dim, width = self.dim, self.width
+        dim, width, block_rows = self.dim, self.width, BLOCK_ROWS
         by = ["label", "reference", "own", "uid"]
         asking = self.rows.join(anchors, "uid").select("uid", "vec_id", "label", "v", "norm", "angles", "lows", "highs", "reference", "own")
-        blocks = asking.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(lambda x: _blocked(x, dim), BLOCK)
+        blocks = asking.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(lambda x: _blocked(x, dim, block_rows), BLOCK)
         blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
         bounds = self.cells.select(F.pmod(F.xxhash64("cell"), F.lit(self.pages)).alias("page"), F.struct("cell", "label_low", "label_high", "low", "high", "norm_low", "norm_high").alias("x"))
         pages = bounds.groupBy("page").agg(F.collect_list("x").alias("bounds"))

@@ -15,6 +15,7 @@ from creatorlake.llm.common import read, shared_dir
 from creatorlake.llm.conversation_trie import numbered_turns, prefix_trie, with_shared_openings
 from creatorlake.llm.decontamination import contamination
 from creatorlake.llm.hard_negatives import hard_negatives
+from creatorlake.llm.nn_descent import nearest_neighbours
 from creatorlake.llm.pii import pseudonymised
 from creatorlake.llm.secrets import secret_scan
 from creatorlake.llm.sharding import layout, rewrite_affected
@@ -126,12 +127,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, label=moved)
 
 
+def op12_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*with_shared_openings(numbered_turns(read(spark, sf_dir, "conversations"))))
 
 
 def queries() -> dict:
-    both = (op1_token_counts, op2_topk_search, op3_byte_bpe, op4_secret_scan, op5_toxicity, op6_flow_sharding, op7_pii_pseudonyms, op8_decontamination, op9_simhash, op10_language_id, op11_hard_negatives, op13_conversation_trie)
+    both = (op1_token_counts, op2_topk_search, op3_byte_bpe, op4_secret_scan, op5_toxicity, op6_flow_sharding, op7_pii_pseudonyms, op8_decontamination, op9_simhash, op10_language_id, op11_hard_negatives, op12_nn_descent, op13_conversation_trie)
     return {f.__name__: f for f in both}
 
 
