@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,26 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Spark's own setting: what a write has shuffled goes when it is done, not when the driver collects its garbage.
+#: Spark's own setting: what a query has shuffled goes when it is done, not when the driver collects its garbage.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Queries in here leave no shuffle files; for work that writes many tables one after the other, each read again from there."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+
+
 def written(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: it is computed once, and a lost executor costs only what it was doing.
 
-    tidy: its shuffle files go as soon as it is written, for iterative work over large tables.
+    tidy: its shuffle files go as soon as it is written.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(TIDY, None)
-    if tidy:
-        spark.conf.set(TIDY, "true")
-    try:
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    with tidied(df.sparkSession) if tidy else nullcontext():
         df.write.parquet(path)
-    finally:
-        if tidy:
-            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def free(df: DataFrame, *names: str) -> list[str]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import re
+import string
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -23,9 +24,8 @@ from creatorlake.llm.common import each_text, free, sliced
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-#: Tried at each place in this order. Digits that other digits, letters or a dash touch are no value of their own.
+#: Tried at each place in this order, after emails. Digits that other digits, letters or a dash touch are no value of their own.
 FORMATS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
     "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9/-]|\.[0-9])",
@@ -36,18 +36,24 @@ FORMATS = {
 }
 SCAN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FORMATS.items()), re.ASCII)
 HINT = re.compile(r"[0-9@]")
+#: A letter or digit, then any of these, an @, and a host.
+NAME_START, NAME = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "._%+-"
+HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: Longer values are permuted in pieces of so many characters.
+PIECE = 1024
 
 
 def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(size)."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, width = (1 << half) - 1, (half + 7) // 8
+    salt = blake2b(f"{tweak}:{size}".encode(), digest_size=16).digest()
     while size > 1:
         a, b = x >> half, x & mask
         for r in range(ROUNDS):
             f = b""
             while len(f) < width:
-                f += blake2b(b.to_bytes(width, "big") + len(f).to_bytes(4, "big"), key=key, person=r.to_bytes(16, "big"), salt=blake2b(f"{tweak}:{size}".encode(), digest_size=16).digest()).digest()
+                f += blake2b(b.to_bytes(width, "big") + len(f).to_bytes(4, "big"), key=key, person=r.to_bytes(16, "big"), salt=salt).digest()
             a, b = b, a ^ (int.from_bytes(f[:width], "big") & mask)
         x = a << half | b
         if x < size:
@@ -70,7 +76,9 @@ def _digits(value: str, key: bytes, tweak: str, keep: int = 0) -> str:
 
 
 def _letters(value: str, key: bytes, tweak: str) -> str:
-    """value with each digit, small and capital letter replaced by one of its kind, all together as one number."""
+    """value with each digit, small and capital letter replaced by one of its kind, all together as one number (of each piece)."""
+    if len(value) > PIECE:
+        return "".join(_letters(value[i : i + PIECE], key, f"{tweak}{i}:") for i in range(0, len(value), PIECE))
     sizes = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in value]
     bases = ["0" if c.isdigit() else "a" if c.islower() else "A" for c in value]
     x, size = 0, 1
@@ -168,29 +176,60 @@ def _phone(value: str, key: bytes) -> str | None:
 
 
 def _key(value: str, key: bytes) -> str:
-    new = f"{permuted(int(value, 16), 16 ** len(value), key, 'key'):0{len(value)}x}"
+    pieces = [value[i : i + PIECE] for i in range(0, len(value), PIECE)]
+    new = "".join(f"{permuted(int(p, 16), 16 ** len(p), key, f'key{i}' if i else 'key'):0{len(p)}x}" for i, p in enumerate(pieces))
     return new.upper() if value.upper() == value and value.lower() != value else new
 
 
 RULES: dict[str, Callable[[str, bytes], str | None]] = {"email": _email, "iban": _iban, "key": _key, "date": _date, "ip": _ip, "national": _national, "phone": _phone, "account": _account}
 
 
+def emails(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, place of the @, end) of what could be an email; each character is looked at once, however long a run without white space is."""
+    before, at = 0, text.find("@")
+    while at >= 0:
+        run = text[before:at]
+        name = run[len(run.rstrip(NAME)) :].lstrip("._%+-")
+        host = HOST.match(text, at + 1) if name else None
+        if host:
+            yield at - len(name), at, host.end()
+        before, at = at + 1, text.find("@", at + 1)
+
+
+def values(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end), leftmost first; an email that begins inside another value begins behind it, if enough is left."""
+    found, at = emails(text), 0
+    mail, other = next(found, None), SCAN.search(text)
+    while mail or other:
+        if mail and mail[0] < at:
+            name = text[at : mail[1]].lstrip("._%+-") if at < mail[1] else ""
+            mail = (mail[1] - len(name), *mail[1:]) if name else next(found, None)
+        elif other and other.start() < at:
+            other = SCAN.search(text, at)
+        elif mail and (not other or mail[0] <= other.start()):
+            yield "email", mail[0], mail[2]
+            at = mail[2]
+        else:
+            yield other.lastgroup, other.start(), other.end()
+            at = other.end()
+
+
 def pseudonymise(text: str, key: bytes, known: dict | None = None) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with each validated value replaced, and (kind, start, end) of the values in the old text."""
     if not HINT.search(text):
         return text, []
     out, spans, at = [], [], 0
     known = {} if known is None else known
-    for m in SCAN.finditer(text):
-        kind, value = m.lastgroup, m.group()
+    for kind, start, end in values(text):
+        value = text[start:end]
         if (kind, value) not in known:
             if len(known) >= 100_000:
                 known.clear()
             known[kind, value] = RULES[kind](value, key)
         if (new := known[kind, value]) is not None:
-            out += [text[at : m.start()], new]
-            at = m.end()
-            spans.append((kind, m.start(), at))
+            out += [text[at:start], new]
+            at = end
+            spans.append((kind, start, end))
     return "".join([*out, text[at:]]) if spans else text, spans
 
 
@@ -202,7 +241,7 @@ def pseudonymised(df: DataFrame, key: bytes = b"creatorlake", text: str = "text"
 
     Emails, IBANs, long hexadecimal keys, dates, IPv4 addresses, national and phone numbers, account and card numbers.
     Values that don't validate (an octet over 255, a 31st of April, a wrong IBAN check) stay, as do null texts, whose
-    spans are empty. The key should be secret: whoever has it can undo the permutation. Rows aren't moved.
+    spans are empty. Values of more than PIECE characters are permuted piece by piece. The key should be secret: whoever has it can undo the permutation. Rows aren't moved.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in (text.lower(), spans.lower())]
     order = [c for c in df.columns if c.lower() != spans.lower() and (c in kept or c.lower() == text.lower())]

@@ -19,17 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creatorlake.llm.common import written
+from creatorlake.llm.vectors import int_matrix, quantised
 
 LEAF_ROWS, SHARD_ROWS, SAMPLE_ROWS = 32, 1024, 60_000
 
 
-def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component as long; null for a null vector or one with a null or non-finite component."""
-    x = vector.cast("array<double>")
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return F.when(fine, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
-
-
 def _split(points: np.ndarray, rows: np.ndarray) -> tuple[int, int] | None:
     """The widest dimension and its median, such that both sides get rows; None if all rows are equal."""
     span = points[rows].max(axis=0) - points[rows].min(axis=0)
@@ -135,23 +129,28 @@ def box_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
     return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Vectors as float64, padded with zeros: exact while sums stay below 2**53."""
-    sizes = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if (sizes == dim).all():
-        return flat.reshape(len(column), dim).astype(np.float64)
-    out = np.zeros((len(column), dim))
-    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    return out
+def exact_kind(dim: int, most: int) -> type:
+    """What inner products of components of at most this size are exact in: doubles up to 2**53, int64 up to 2**63, else Python integers."""
+    bound = dim * most * most
+    return np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
+
+
+def _matrix(column: pa.Array, dim: int, kind: type) -> np.ndarray:
+    return int_matrix(column, dim).astype(kind)
+
+
+def _longs(values: list[int]) -> pa.Array:
+    if values and (max(values) >= 2**63 or min(values) < -(2**63)):
+        raise OverflowError("an inner product doesn't fit a long")
+    return pa.array(values, pa.int64())
 
 
-def _visits(shards: DataFrame, queries: DataFrame, dim: int, k: int, each: int) -> DataFrame:
+def _visits(shards: DataFrame, queries: DataFrame, dim: int, kind_of: type, k: int, each: int) -> DataFrame:
     """(node, score, vec_id): up to k best of each query in each shard it visits, at most `each` of one id.
 
     shards: shard, v, ids; queries: shard, node, v, least. A task holds the tree of one shard; queries stream past it.
     """
-    a = shards.select("shard", F.lit(0).alias("kind"), "v", "ids", F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("least"))
+    a = shards.select("shard", F.lit(0).alias("kind"), "v", "ids", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("least"))
     b = queries.select("shard", F.lit(1).alias("kind"), "v", F.lit(None).cast("array<long>").alias("ids"), "node", "least")
     rows = a.union(b).repartition("shard").sortWithinPartitions("shard", "kind")
 
@@ -166,7 +165,7 @@ def _visits(shards: DataFrame, queries: DataFrame, dim: int, k: int, each: int)
                 if shard[s] != now:
                     now, parts, ids, tree = shard[s], [], [], None
                 part = batch.slice(s, e - s)
-                points = _matrix(part.column(2), dim)
+                points = _matrix(part.column(2), dim, kind_of)
                 if kind[s] == 0:
                     parts.append(points)
                     ids += part.column(3).to_pylist()
@@ -179,7 +178,7 @@ def _visits(shards: DataFrame, queries: DataFrame, dim: int, k: int, each: int)
                     block = points[i : i + 256]
                     for q, bounds, node, least in zip(block, box_bounds(block, tree.low, tree.high).tolist(), part.column(4)[i : i + 256].to_pylist(), part.column(5)[i : i + 256].to_pylist(), strict=True):
                         out += [(node, -s, x) for s, x in tree.search(q, bounds, ids, k, least, each)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["node", "score", "vec_id"])
+                yield pa.RecordBatch.from_arrays([_longs([r[c] for r in out]) for c in range(3)], names=["node", "score", "vec_id"])
 
     return rows.mapInArrow(run, "node long, score long, vec_id long")
 
@@ -196,7 +195,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_id", ve
     spark = df.sparkSession
     all_rows = df.select(F.col(ident).cast("long").alias("vec_id"), is_query.alias("q"), quantised(F.col(vector), scale).alias("v")).filter("vec_id is not null and v is not null")
     rows = written(all_rows, "vectors")
-    dim = int(rows.agg(F.max(F.size("v"))).first()[0] or 0)
+    size = rows.agg(F.max(F.size("v")).alias("dim"), F.max(F.array_max("v")).alias("high"), F.min(F.array_min("v")).alias("low")).first()
+    dim = int(size["dim"] or 0)
+    kind = exact_kind(dim, max(int(size["high"] or 0), -int(size["low"] or 0)))
     copies = int(rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0)
     room = k + min(copies, k)
     # at most k rows of one ident, then at most `room` rows of each vector leave a task
@@ -209,33 +210,34 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_id", ve
     shard_rows = max(SHARD_ROWS, isqrt(n))
     share = min(1.0, SAMPLE_ROWS / max(1, n))
     sample = nodes.filter(F.pmod(F.xxhash64("v"), F.lit(10**6)) < int(share * 10**6)).select("v").limit(SAMPLE_ROWS).toArrow()
-    points = _matrix(sample.column(0).combine_chunks(), dim) if sample.num_rows else np.zeros((0, dim))
+    points = _matrix(sample.column(0).combine_chunks(), dim, kind) if sample.num_rows else np.zeros((0, dim))
     sent = spark.sparkContext.broadcast(Router(points, min(ceil(n / shard_rows), max(1, SAMPLE_ROWS // 8))))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value.shard(_matrix(b.column(0), dim))), *b.columns], names=["shard", "v", "ids", "node", "asked"])
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value.shard(_matrix(b.column(0), dim, kind))), *b.columns], names=["shard", "v", "ids", "node", "asked"])
 
     shards = written(nodes.select("v", "ids", "node", "asked").mapInArrow(dealt, "shard int, v array<long>, ids array<long>, node long, asked boolean"), "shards")
     queries = shards.filter("asked").select("shard", "node", "v")
-    home = written(_visits(shards, queries.withColumn("least", F.lit(None).cast("double")), dim, room, k), "home")
-    worst = home.groupBy("node").agg(F.when(F.count(F.lit(1)) == room, F.min("score")).cast("double").alias("least"))
-    boxes = _boxes(shards, dim)
+    home = written(_visits(shards, queries.withColumn("least", F.lit(None).cast("long")), dim, kind, room, k), "home")
+    worst = home.groupBy("node").agg(F.when(F.count(F.lit(1)) == room, F.min("score")).alias("least"))
+    boxes = _boxes(shards, dim, kind)
     sent_boxes = spark.sparkContext.broadcast(boxes)
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, low, high = sent_boxes.value
         for b in batches:
-            own, least = b.column(0).to_numpy(), np.array([-np.inf if x is None else x for x in b.column(3).to_pylist()])
-            q = _matrix(b.column(2), dim)
+            # no score lies below -(2**63)
+            own, least = b.column(0).to_numpy(), np.array([-(2**63) if x is None else x for x in b.column(3).to_pylist()], np.int64).astype(kind)
+            q = _matrix(b.column(2), dim, kind)
             for i in range(0, len(q), 1024):
                 hit = (box_bounds(q[i : i + 1024], low, high) >= least[i : i + 1024, None]) & (numbers[None, :] != own[i : i + 1024, None])
                 at, box = np.nonzero(hit)
                 picked = b.take(pa.array(at + i))
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[box].astype(np.int32)), *picked.columns[1:]], names=["shard", "node", "v", "least"])
 
-    away = queries.join(worst, "node", "left").select("shard", "node", "v", "least").mapInArrow(reach, "shard int, node long, v array<long>, least double")
-    found = home.union(_visits(shards, away, dim, room, k))
+    away = queries.join(worst, "node", "left").select("shard", "node", "v", "least").mapInArrow(reach, "shard int, node long, v array<long>, least long")
+    found = home.union(_visits(shards, away, dim, kind, room, k))
     if copies > k:
         found = found.withColumn("n", F.row_number().over(Window.partitionBy("node", "vec_id").orderBy(F.desc("score")))).filter(F.col("n") <= k)
     by_node = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id")
@@ -249,20 +251,20 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_id", ve
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _boxes(shards: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _boxes(shards: DataFrame, dim: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shard numbers, lowest, highest) for the tight box of each shard; their number is bounded by SAMPLE_ROWS / 8."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = {}, {}
         for b in batches:
-            numbers, points = b.column(0).to_numpy(), _matrix(b.column(1), dim)
+            numbers, points = b.column(0).to_numpy(), int_matrix(b.column(1), dim)
             for s in np.unique(numbers):
-                own = points[numbers == s]
-                low[s] = np.minimum(low.get(s, np.inf), own.min(axis=0))
-                high[s] = np.maximum(high.get(s, -np.inf), own.max(axis=0))
+                least, most = points[numbers == s].min(axis=0), points[numbers == s].max(axis=0)
+                low[s] = np.minimum(low[s], least) if s in low else least
+                high[s] = np.maximum(high[s], most) if s in high else most
         keys = list(low)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int32), dim)), pa.array(np.tile(np.arange(dim, dtype=np.int32), len(keys))), pa.array(np.concatenate([low[s] for s in keys]) if keys else np.zeros(0)), pa.array(np.concatenate([high[s] for s in keys]) if keys else np.zeros(0))], names=["shard", "dim", "low", "high"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int32), dim)), pa.array(np.tile(np.arange(dim, dtype=np.int32), len(keys))), pa.array(np.concatenate([low[s] for s in keys]) if keys else np.zeros(0, np.int64)), pa.array(np.concatenate([high[s] for s in keys]) if keys else np.zeros(0, np.int64))], names=["shard", "dim", "low", "high"])
 
-    table = shards.select("shard", "v").mapInArrow(part, "shard int, dim int, low double, high double").groupBy("shard", "dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas().sort_values(["shard", "dim"])
+    table = shards.select("shard", "v").mapInArrow(part, "shard int, dim int, low long, high long").groupBy("shard", "dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas().sort_values(["shard", "dim"])
     numbers = table["shard"].unique() if dim else np.zeros(0, np.int32)
-    return numbers, table["low"].to_numpy().reshape(len(numbers), dim), table["high"].to_numpy().reshape(len(numbers), dim)
+    return numbers, table["low"].to_numpy().astype(kind).reshape(len(numbers), dim), table["high"].to_numpy().astype(kind).reshape(len(numbers), dim)

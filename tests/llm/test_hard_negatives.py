@@ -44,7 +44,7 @@ def shaped(kind):
         return [(None, [1.0], "a"), (5, None, "a"), (10, [None, 1.0], "a"), (15, [float("nan")], "a"), (20, [float("inf")], "a"), (25, [1.0, 0.5], None), (30, [1.0, 0.5], "a"), (31, [0.9, 0.5], "a"), (32, [0.6, 0.5], "b"), (35, [], "b")]
     if kind == "labels":  # nearly every row has its own label
         return [(i, [rng.random() for _ in range(4)], str(i // 2)) for i in range(200)]
-    size = {"wide": 1e7, "huge": 4e6 / 256 * 2e3}[kind]  # sums beyond 2**53, the second with products beyond 2**63 at worst
+    size = {"wide": 1e6, "huge": 2.5e6}[kind]  # sums beyond 2**53, the second with a worst case beyond 2**63
     return [(i, [rng.gauss(0, size) for _ in range(5)], rng.choice("ab")) for i in range(60)]
 
 
