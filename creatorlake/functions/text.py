@@ -6,6 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Plurals that follow no rule.
+IRREGULAR_PLURALS = {
+    "children": "child", "men": "man", "women": "woman", "people": "person",
+    "teeth": "tooth", "feet": "foot", "mice": "mouse", "geese": "goose",
+    "oxen": "ox", "lice": "louse", "cacti": "cactus", "fungi": "fungus",
+    "alumni": "alumnus", "larvae": "larva", "vertebrae": "vertebra",
+    "knives": "knife", "wives": "wife", "lives": "life", "wolves": "wolf",
+    "halves": "half", "shelves": "shelf", "leaves": "leaf", "loaves": "loaf",
+    "thieves": "thief", "scarves": "scarf",
+}
+
+
+def singular(word: Column) -> Column:
+    """The singular in lower case: irregular plurals, short words in capitals but for their s, then suffixes. Words of two letters stay as they are."""
+    low = F.lower(word)
+    n = F.length(low)
+    cut = lambda k: F.substring(low, F.lit(1), n - k)
+    known = F.create_map(*[F.lit(x) for pair in IRREGULAR_PLURALS.items() for x in pair])
+    return (
+        F.when(n <= 2, word)
+        .when(low.isin(*IRREGULAR_PLURALS), F.try_element_at(known, low))
+        .when((word == F.upper(word)) & (n <= 4), F.when(low.endswith("s"), cut(1)).otherwise(low))
+        .when(low.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
+        .when(low.rlike("(x|z|ch|sh|ss)es$"), cut(2))
+        .when(low.endswith("ses") & (n > 4), cut(1))
+        .when(low.endswith("s") & ~low.rlike("(ss|us|is)$"), cut(1))
+        .otherwise(low)
+    )
+
+
 def words(text: Column) -> Column:
     """White-space separated words; an empty array for null or blank texts."""
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
@@ -35,7 +65,8 @@ def phrase_count(text: Column, phrases: list[str]) -> Column:
 
 
 def whole_word_count(text: Column, word: str) -> Column:
-    return F.regexp_count(text, F.lit(rf"\b{word}\b")).cast("long")
+    """How often word stands in the text with no ASCII letter, digit or underscore next to it."""
+    return F.regexp_count(text, F.lit(rf"(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])")).cast("long")
 
 
 def vocabulary_metrics(df: DataFrame, ident: str, text: str) -> DataFrame:

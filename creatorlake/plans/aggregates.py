@@ -79,12 +79,6 @@ def d9_mechanism_catalog(table):
     return counted.join(samples, "mech")
 
 
-@query("WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(trim(lower(text)), '\\s+')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln((n + 1) / (count(*) + 1)), 6) AS idf, round(count(*) / n, 6) AS prevalence FROM w, n GROUP BY term, n HAVING count(*) >= 20")
-def d10_inverse_document_frequency(table):
-    """The terms of 20 documents or more; d10_inverse_document_frequency_all has every term."""
-    return inverse_document_frequency(table).filter("df >= 20")
-
-
 @query("WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(trim(lower(text)), '\\s+')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln((n + 1) / (count(*) + 1)), 6) AS idf, round(count(*) / n, 6) AS prevalence FROM w, n GROUP BY term, n")
 def d10_inverse_document_frequency_all(table):
     return inverse_document_frequency(table)
@@ -197,9 +191,9 @@ def e10_age_and_quarter(table):
     return table("orders").select("o_orderkey", F.round(F.datediff(F.to_date(F.lit("2000-01-01")), "o_orderdate") / 365.0, 6).alias("years"), F.concat(F.year("o_orderdate"), F.lit("Q"), F.quarter("o_orderdate")).alias("quarter"))
 
 
-@query("SELECT user_id, arg_max(event_type, (epoch_us(ts), event_id)) AS latest_type, max(event_id) AS newest FROM events WHERE value > 10 GROUP BY user_id")
+@query("SELECT user_id, arg_max(event_type, (epoch_us(ts), event_id)) AS latest_type, max(event_id) AS newest FROM events GROUP BY user_id")
 def e13_last_known_state(table):
-    return table("events").filter("value > 10").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest_type"), F.max("event_id").alias("newest"))
+    return table("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest_type"), F.max("event_id").alias("newest"))
 
 
 @query("WITH t AS (SELECT DISTINCT o_orderdate AS t FROM orders), r AS (SELECT t, row_number() OVER (ORDER BY t) AS i, count(*) OVER () AS n FROM t) SELECT CASE WHEN i <= floor(n * 0.6) THEN 0 ELSE least(4, 1 + floor((i - 1 - floor(n * 0.6)) / ((n - floor(n * 0.6)) / 4.0)))::INT END AS fold, count(*) AS times, min(t) AS first_at, max(t) AS last_at FROM r GROUP BY 1")

@@ -173,23 +173,16 @@ def c11_family_purge(table):
     return R.purged(f.filter(~F.col("test")), f.filter("test"), "family").select("doc_id")
 
 
-@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, value FROM events), s AS (SELECT user_id, t AS start_at, t + 600 AS end_at, event_id AS span FROM e WHERE event_id % 4 = 0)
-SELECT span, count(*) AS n, round(sum(value), 4) AS total FROM e JOIN s ON e.user_id = s.user_id AND e.t >= s.start_at AND e.t < s.end_at GROUP BY span""")
-def c15_interval_join(table):
-    """The spans of every fourth event; c15_interval_join_all has the span of every event."""
-    return event_spans(table, "event_id % 4 = 0")
-
-
 @query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, value FROM events), s AS (SELECT user_id, t AS start_at, t + 600 AS end_at, event_id AS span FROM e)
 SELECT span, count(*) AS n, round(sum(value), 4) AS total FROM e JOIN s ON e.user_id = s.user_id AND e.t >= s.start_at AND e.t < s.end_at GROUP BY span""")
 def c15_interval_join_all(table):
-    return event_spans(table, "true")
+    return event_spans(table)
 
 
-def event_spans(table, starts):
-    """Events in the ten minutes from each event of their user that `starts` holds for."""
+def event_spans(table):
+    """Events in the ten minutes from each event of their user."""
     e = table("events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "value")
-    s = e.filter(starts).select("user_id", F.col("at").alias("start_at"), (F.col("at") + 600).alias("end_at"), F.col("event_id").alias("span"))
+    s = e.select("user_id", F.col("at").alias("start_at"), (F.col("at") + 600).alias("end_at"), F.col("event_id").alias("span"))
     return R.interval_join(e, s, "user_id", "at", "start_at", "end_at", 600.0).groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 

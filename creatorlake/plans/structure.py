@@ -10,10 +10,10 @@ from creatorlake.operators import partitions as P
 from creatorlake.plans.registry import query
 
 
-@query("WITH c AS (SELECT o_custkey AS k, 1 AS prio FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT c_custkey, 2 FROM customer WHERE c_acctbal > 5000) SELECT k, min(prio) AS prio FROM c GROUP BY k")
+@query("WITH c AS (SELECT o_custkey AS k, 1 AS prio FROM orders UNION ALL SELECT c_custkey, 2 FROM customer) SELECT k, min(prio) AS prio FROM c GROUP BY k")
 def g1_ordered_merge(table):
-    a = table("orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("k"), F.lit(1).alias("prio"))
-    return a.union(table("customer").filter("c_acctbal > 5000").select("c_custkey", F.lit(2))).groupBy("k").agg(F.min("prio").alias("prio"))
+    a = table("orders").select(F.col("o_custkey").alias("k"), F.lit(1).alias("prio"))
+    return a.union(table("customer").select("c_custkey", F.lit(2))).groupBy("k").agg(F.min("prio").alias("prio"))
 
 
 @query("SELECT family, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, sha256(concat_ws('|', CASE WHEN length(trim(lower(text))) >= 20 THEN trim(lower(text)) ELSE source END, round(n_chars / 15.0)::BIGINT::VARCHAR)) AS family FROM documents) GROUP BY family")
@@ -56,10 +56,10 @@ def g13_target_predictors(table):
     return G.predictors(hops(table)[0]).select("a", F.round("score", 6).alias("score"), "n")
 
 
-@query("SELECT p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 49) GROUP BY p_brand")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def g21_principle_gaps(table):
-    used = table("part").join(table("lineitem").filter("l_quantity > 49"), F.col("l_partkey") == F.col("p_partkey")).select("p_brand").distinct()
-    return table("part").select("p_brand").distinct().join(used, "p_brand", "left_anti")
+    """Documents that no label speaks for."""
+    return table("documents").select("doc_id").join(table("labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @query("WITH n AS (SELECT vec_id, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS s, embedding FROM embeddings) SELECT vec_id, round(s, 6) AS length, round(embedding[1]::DOUBLE / s, 6) AS first_unit FROM n")
