@@ -32,19 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Spark's own setting: what a query has shuffled goes when it is done, not when the driver collects its garbage.
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own settings: what a query has shuffled goes when it is done, not when the driver collects its garbage; a batch for Python has 4 MB, whatever its rows hold.
+LIGHT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 @contextmanager
-def tidied(spark: SparkSession) -> Iterator[None]:
-    """Queries in here leave no shuffle files; for work that writes many tables one after the other, each read again from there."""
-    before = spark.conf.get(TIDY, None)
-    spark.conf.set(TIDY, "true")
+def light(spark: SparkSession) -> Iterator[None]:
+    """Queries in here leave no shuffle files and send small batches; for work that writes many tables one after the other, each read again from there."""
+    before = {key: spark.conf.get(key, None) for key in LIGHT}
+    for key, value in LIGHT.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def written(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
@@ -53,7 +55,7 @@ def written(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     tidy: its shuffle files go as soon as it is written.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    with tidied(df.sparkSession) if tidy else nullcontext():
+    with light(df.sparkSession) if tidy else nullcontext():
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
