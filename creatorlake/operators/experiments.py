@@ -30,8 +30,9 @@ def order_in_metric(df: DataFrame, by: list[str] = ["metric"], value: str = "val
 
 
 def buckets(df: DataFrame, k: int, by: list[str] = ["metric"]) -> DataFrame:
-    """df with bucket 0 to k - 1 of equal size by value; the last takes what is left over."""
-    return order_in_metric(df, by).withColumn("bucket", F.least(F.floor(F.col("place") / F.floor(F.col("n") / k)), F.lit(k - 1)).cast("int")).filter(F.col("n") >= k)
+    """df with bucket 0 to k - 1 of equal size by value; the last takes what is left over. A df that has been through order_in_metric keeps its places."""
+    placed = df if {"place", "n"} <= set(df.columns) else order_in_metric(df, by)
+    return placed.withColumn("bucket", F.least(F.floor(F.col("place") / F.floor(F.col("n") / k)), F.lit(k - 1)).cast("int")).filter(F.col("n") >= k)
 
 
 def bucket_curve(df: DataFrame, k: int, by: list[str] = ["metric"]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creatorlake.operators.windows import with_average_rank
+from creatorlake.operators.windows import value_places
+from creatorlake.sources.steps import step
 
 Z95 = 1.959963984540054
 
@@ -30,8 +31,12 @@ def pearson(df: DataFrame, by: list[str], x: str = "value", y: str = "target", l
 
 
 def spearman(df: DataFrame, by: list[str], x: str = "value", y: str = "target") -> DataFrame:
-    """rho of tie-averaged ranks for each group."""
-    ranked = with_average_rank(with_average_rank(df.filter(finite(x) & finite(y)).select(*by, x, y), x, *by, name="__rx"), y, *by, name="__ry")
+    """rho of tie-averaged ranks for each group. The rows are made once; the ranks of both columns come from one pass over their values."""
+    rows = step(df.filter(finite(x) & finite(y)).select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")), "rows")
+    both = rows.select(*by, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("__x").alias("v")), F.struct(F.lit(1).alias("side"), F.col("__y").alias("v")))).alias("s")).select(*by, F.col("s.side").alias("__side"), F.col("s.v").alias("__v"))
+    ranks = step(value_places(both, "__v", *by, "__side").select(*by, "__side", "__v", (F.col("__below") + (F.col("__c") + 1) / 2).alias("__r")), "ranks")
+    side = lambda n, v, r: ranks.filter(F.col("__side") == n).select(*by, F.col("__v").alias(v), F.col("__r").alias(r))
+    ranked = rows.join(side(0, "__x", "__rx"), [*by, "__x"]).join(side(1, "__y", "__ry"), [*by, "__y"])
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), corr("__rx", "__ry").alias("rho"))
 
 

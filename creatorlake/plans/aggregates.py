@@ -9,6 +9,7 @@ from creatorlake.operators import experiments as X
 from creatorlake.operators import windows as W
 from creatorlake.plans.panel import LONG_SQL, VIDEOS_SQL, metric_values, videos
 from creatorlake.plans.registry import query
+from creatorlake.sources.steps import step
 
 
 @query("SELECT l_shipmode_like AS category, round(sum(v), 2) AS spend, round(sum(v) / sum(sum(v)) OVER (), 6) AS share, round(sum(v) FILTER (l_discount >= 0.05), 2) AS reduced FROM (SELECT l_returnflag || l_linestatus AS l_shipmode_like, l_extendedprice AS v, l_discount FROM lineitem) GROUP BY 1")
@@ -54,8 +55,10 @@ def d6_quantile_bins(table):
 
 @query(f"WITH {VIDEOS_SQL}, q AS (SELECT median(quantity) AS a, median(discount) AS b FROM videos) SELECT (quantity > a)::INT AS qa, (discount > b)::INT AS qb, count(*) AS n, round(median(views), 3) AS mid FROM videos, q GROUP BY CUBE (1, 2)")
 def d7_two_way_grid(table):
-    v = videos(table).select("quantity", "discount", "views")
-    mid = F.broadcast(W.quantiles(v, "quantity", {"a": 0.5}).join(F.broadcast(W.quantiles(v, "discount", {"b": 0.5}))))
+    v = step(videos(table).select("quantity", "discount", "views"), "videos")
+    sides = v.select(F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("double").alias("x")) for c in ("quantity", "discount")])).alias("s")).select("s.side", "s.x")
+    of = lambda c: F.max(F.when(F.col("side") == c, F.col("mid")))
+    mid = F.broadcast(step(W.quantiles(sides, "x", {"mid": 0.5}, "side").agg(of("quantity").alias("a"), of("discount").alias("b")), "medians"))
     g = v.join(mid).select((F.col("quantity") > F.col("a")).cast("int").alias("qa"), (F.col("discount") > F.col("b")).cast("int").alias("qb"), "views")
     # -1 stands for any: the four sets of the cube
     cells = [(a, b) for a in (F.col("qa"), F.lit(-1)) for b in (F.col("qb"), F.lit(-1))]

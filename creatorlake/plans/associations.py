@@ -12,6 +12,7 @@ from creatorlake.plans import more  # noqa: F401  registers the SQL that g18 rea
 from creatorlake.plans.evaluation import FOLD_SQL, fold
 from creatorlake.plans.panel import LONG_SQL, VIDEOS_SQL, metric_values, videos
 from creatorlake.plans.registry import SQL, query
+from creatorlake.sources.steps import step
 from creatorlake.plans.statistics import KIND_P, PAIRS, RANKS, kind_tests, r6
 
 
@@ -37,8 +38,8 @@ def g16_predictor_lists(table):
 
 @query(f"SELECT metric, r_low, r_high, largest_step, monotone, (r_low * r_high < 0) AS turns, (largest_step >= 0.1) AS steps, (monotone >= 0.75) AS monotone_enough FROM ({SQL['k6_piecewise_halves']}) JOIN ({SQL['k7_quarter_steps']}) USING (metric) JOIN ({SQL['k5_bucket_curve']}) USING (metric)")
 def g17_nonlinearity_digest(table):
-    """Halves, threshold and monotone evidence of each metric in one row; the metrics are ordered by value for each kind of evidence."""
-    rows = metric_values(table)
+    """Halves, threshold and monotone evidence of each metric in one row, all from one order of its values."""
+    rows = step(X.order_in_metric(step(metric_values(table), "metrics")), "ordered")
     joined = X.halves(rows).select("metric", *r6("r_low", "r_high")).join(X.quarter_steps(rows).select("metric", *r6("largest_step")), "metric").join(X.bucket_curve(rows, 5).select("metric", *r6("monotone")), "metric")
     return joined.select("*", (F.col("r_low") * F.col("r_high") < 0).alias("turns"), (F.col("largest_step") >= 0.1).alias("steps"), (F.col("monotone") >= 0.75).alias("monotone_enough"))
 
