@@ -201,9 +201,9 @@ def e13_last_known_state(table):
 
 @query("WITH t AS (SELECT DISTINCT o_orderdate AS t FROM orders), r AS (SELECT t, row_number() OVER (ORDER BY t) AS i, count(*) OVER () AS n FROM t) SELECT CASE WHEN i <= floor(n * 0.6) THEN 0 ELSE least(4, 1 + floor((i - 1 - floor(n * 0.6)) / ((n - floor(n * 0.6)) / 4.0)))::INT END AS fold, count(*) AS times, min(t) AS first_at, max(t) AS last_at FROM r GROUP BY 1")
 def e16_expanding_splits(table):
-    """Distinct times only are numbered: days, not rows."""
-    t = table("orders").select(F.col("o_orderdate").alias("t")).distinct()
-    r = t.withColumn("i", F.row_number().over(Window.orderBy("t"))).join(F.broadcast(t.agg(F.count(F.lit(1)).alias("n"))))
+    """Distinct times are numbered from counts over their classes."""
+    t = table("orders").groupBy(F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us")).agg(F.first("o_orderdate").alias("t"))
+    r = t.join(W.value_places(t, "us").select("us", (F.col("__below") + 1).alias("i"), F.col("__n").alias("n")), "us")
     head = F.floor(F.col("n") * 0.6)
     fold = F.when(F.col("i") <= head, 0).otherwise(F.least(F.lit(4), 1 + F.floor((F.col("i") - 1 - head) / ((F.col("n") - head) / 4.0))))
     return r.groupBy(fold.cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("times"), F.min("t").alias("first_at"), F.max("t").alias("last_at"))

@@ -96,10 +96,10 @@ f AS (SELECT unnest([0, 1, 2, 3])::INT AS fold)
 SELECT fold, (SELECT count(*) FROM r WHERE block = fold) AS n_test, (SELECT count(*) FROM r WHERE block < fold AND family NOT IN (SELECT family FROM r t WHERE t.block = fold)) AS n_train FROM f""")
 def e18_forward_folds(table):
     """Half of the distinct times to learn from, then four blocks; of what is earlier than a block, families in it are left out."""
-    days = table("orders").select(F.col("o_orderdate").alias("day")).distinct()
-    p = days.withColumn("p", (F.row_number().over(Window.orderBy("day")) - 1) / F.count(F.lit(1)).over(Window.partitionBy()))
+    days = table("orders").select(F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("day")).distinct()
+    p = W.value_places(days, "day").select("day", (F.col("__below") / F.col("__n")).alias("p"))
     block = F.when(F.col("p") < 0.5, -1).otherwise(F.least(F.floor((F.col("p") - 0.5) * 8), F.lit(3))).cast("int")
-    rows = table("orders").join(p, F.col("day") == F.col("o_orderdate")).select(F.col("o_custkey").alias("family"), block.alias("block"))
+    rows = table("orders").join(p, F.col("day") == F.unix_micros(F.col("o_orderdate").cast("timestamp"))).select(F.col("o_custkey").alias("family"), block.alias("block"))
     by = rows.groupBy("family").agg(*[F.count_if(F.col("block") == b).alias(f"b{b + 1}") for b in range(-1, 4)])
     fold = lambda k: F.struct(F.lit(k).alias("fold"), F.col(f"b{k + 1}").alias("test"), F.when(F.col(f"b{k + 1}") == 0, sum((F.col(f"b{i}") for i in range(1, k + 1)), F.col("b0"))).otherwise(0).alias("train"))
     return by.select(F.explode(F.array(*map(fold, range(4)))).alias("f")).groupBy("f.fold").agg(F.sum("f.test").alias("n_test"), F.sum("f.train").alias("n_train"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creatorlake.operators import graphs as G
 from creatorlake.operators import partitions as P
+from creatorlake.operators.experiments import order_in_metric
 from creatorlake.plans.registry import query
 
 
@@ -94,9 +95,10 @@ def l13_centroids(table):
 
 @query("SELECT source, (row_number() OVER (ORDER BY sha256(source), source) - 1) % 5 AS fold FROM (SELECT DISTINCT source FROM documents)")
 def n6_group_folds(table):
-    """Only the distinct groups are numbered."""
-    g = table("documents").select("source").distinct()
-    return g.select("source", ((F.row_number().over(Window.orderBy(F.sha2("source", 256), "source")) - 1) % 5).cast("long").alias("fold"))
+    """The distinct groups are numbered by their digest, read as two numbers of 52 bits."""
+    digits = lambda i: F.conv(F.substring(F.sha2("source", 256), i, 13), 16, 10).cast("long")
+    g = table("documents").filter("source is not null").select("source").distinct().select("source", F.lit(0).alias("metric"), digits(1).alias("value"), digits(14).alias("video_id"))
+    return order_in_metric(g).select("source", (F.col("place") % 5).cast("long").alias("fold"))
 
 
 @query("WITH e AS (SELECT o_orderpriority AS g, avg(o_totalprice - 150000) AS res FROM orders GROUP BY 1) SELECT o_orderkey, round(o_totalprice - 150000 - res, 4) AS adjusted FROM orders JOIN e ON g = o_orderpriority")
