@@ -106,3 +106,39 @@ def gated_clusters(assigned: DataFrame, groups: DataFrame, group: str, least: in
     )
     kept = (F.col("n") >= least) & (F.col("n_groups") >= least_groups) & (F.col("n") <= most_share * F.col("total"))
     return by.join(F.broadcast(total)).select("cluster", "n", "n_groups", "cohesion", "margin", kept.alias("kept"))
+
+
+def centroid_distances(df: DataFrame, group: str, ident: str = "vec_id", vector: str = "embedding", most: int = 50_000_000) -> DataFrame:
+    """(id, own_group, nearest, distance, own, other): for each row the nearest group mean, and its distances to its own group's mean and the nearest other one.
+
+    Ties, to nine digits, go to the smaller group; other is null with one group. The means go to every task: more than
+    `most` numbers in them are refused. Rows with a null group, ident or vector, a null or non-finite component or
+    another length than the longest take no part.
+    """
+    v = F.col(vector).cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = df.select(F.col(ident).alias("id"), F.col(group).alias("own_group"), F.when(fine, v).alias("v")).dropna()
+    size = rows.agg(F.max(F.size("v")).alias("dim"), F.approx_count_distinct("own_group").alias("k")).first()
+    dim = int(size["dim"] or 0)
+    if 0.9 * size["k"] * dim > most:
+        raise ValueError(f"about {size['k']} groups of {dim} dimensions are too many for every task")
+    rows = rows.filter((F.size("v") == dim) & (F.size("v") > 0))
+    means = rows.select("own_group", F.posexplode("v").alias("dim", "x")).groupBy("own_group", "dim").agg(F.avg("x").alias("x")).orderBy("own_group", "dim").toArrow()
+    names = means["own_group"].combine_chunks().take(pa.array(range(0, means.num_rows, dim or 1), pa.int64())) if means.num_rows else means["own_group"].combine_chunks()
+    sent = df.sparkSession.sparkContext.broadcast((names, means["x"].to_numpy().reshape(len(names), dim)))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, centres = sent.value
+        place = {name: i for i, name in enumerate(names.to_pylist())}
+        for b in batches:
+            x = b["v"].flatten().to_numpy().reshape(b.num_rows, dim)
+            d = np.round(np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * x @ centres.T, 0)), DIGITS)
+            own, at = np.array([place[g] for g in b["own_group"].to_pylist()], np.int64), np.arange(len(x))
+            near = d.argmin(axis=1)
+            distance, mine = d[at, near], d[at, own].copy()
+            d[at, own] = np.inf
+            other = d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([b["id"], b["own_group"], names.take(pa.array(near)), pa.array(distance), pa.array(mine), pa.array(other, mask=~np.isfinite(other))], names=["id", "own_group", "nearest", "distance", "own", "other"])
+
+    i, g = (rows.schema[c].dataType.simpleString() for c in ("id", "own_group"))
+    return rows.mapInArrow(measured, f"id {i}, own_group {g}, nearest {g}, distance double, own double, other double")

@@ -81,10 +81,17 @@ def conditional_delta(df: DataFrame) -> DataFrame:
 
 
 def synergy(df: DataFrame) -> DataFrame:
-    """R2 of the target on both metrics minus the sum of their own r2."""
-    c = pairs(df).groupBy("a", "b").agg(corr("va", "target").alias("ra"), corr("vb", "target").alias("rb"), corr("va", "vb").alias("rab"))
-    both = (F.col("ra") ** 2 + F.col("rb") ** 2 - 2 * F.col("ra") * F.col("rb") * F.col("rab")) / (1 - F.col("rab") ** 2)
-    return c.select("a", "b", (both - F.col("ra") ** 2 - F.col("rb") ** 2).alias("synergy"))
+    """R2 of the target on both metrics minus the sum of their own r2, and what their product adds to that R2; null where metrics, or they and the product, lie on a line."""
+    product = F.col("va") * F.col("vb")
+    c = pairs(df).groupBy("a", "b").agg(
+        corr("va", "target").alias("ra"), corr("vb", "target").alias("rb"), corr("va", "vb").alias("rab"),
+        corr(product, "target").alias("rp"), corr(product, "va").alias("rap"), corr(product, "vb").alias("rbp"),
+    )
+    ra, rb, rp, ab, ap, bp = map(F.col, ("ra", "rb", "rp", "rab", "rap", "rbp"))
+    two = F.try_divide(ra**2 + rb**2 - 2 * ra * rb * ab, 1 - ab**2)
+    spread = 1 + 2 * ab * ap * bp - ab**2 - ap**2 - bp**2
+    three = ra**2 * (1 - bp**2) + rb**2 * (1 - ap**2) + rp**2 * (1 - ab**2) + 2 * ra * rb * (ap * bp - ab) + 2 * ra * rp * (ab * bp - ap) + 2 * rb * rp * (ab * ap - bp)
+    return c.select("a", "b", (two - ra**2 - rb**2).alias("synergy"), (F.try_divide(three, spread) - two).alias("product_gain"))
 
 
 def product_correlation(df: DataFrame) -> DataFrame:
@@ -104,9 +111,11 @@ def residual_pair(df: DataFrame) -> DataFrame:
 
 
 def rank_pair(df: DataFrame) -> DataFrame:
-    """Spearman of a pair of metrics; ranks are made once for each metric."""
-    r = with_average_rank(df, "value", "metric", name="rv").select("video_id", "metric", F.col("rv").alias("value"), "target")
-    return pairs(r).groupBy("a", "b").agg(corr("va", "vb").alias("rho"))
+    """Spearman and Pearson of a pair of metrics, and by how much the first is the stronger; ranks are made once for each metric."""
+    ranked = with_average_rank(df, "value", "metric", name="rv")
+    left, right = (ranked.select("video_id", F.col("metric").alias(m), F.col("value").alias(f"v{m}"), F.col("rv").alias(f"r{m}")) for m in "ab")
+    both = left.join(right, "video_id").filter("a < b").groupBy("a", "b").agg(corr("ra", "rb").alias("rho"), corr("va", "vb").alias("r"))
+    return both.select("a", "b", "rho", "r", (F.abs("rho") - F.abs("r")).alias("gap"))
 
 
 def strength(r: Column) -> Column:

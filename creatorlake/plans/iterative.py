@@ -133,3 +133,21 @@ def n21_monotone_calibration(table):
     """The rising step function from quantity to log views."""
     v = videos(table).select(F.col("quantity").alias("x"), F.log10(F.col("views") + 1).alias("y"))
     return I.isotonic_levels(v, "x", "y").select("low", "high", F.round("level", 6).alias("level"), "n")
+
+
+DISTANCES_SQL = """m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY label),
+d AS (SELECT vec_id, e.label AS own_label, c.label, round(list_distance(embedding::DOUBLE[], c), 9) AS d FROM embeddings e, c)"""
+
+
+@query(f"WITH {DISTANCES_SQL} SELECT vec_id, label AS nearest, round(d, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, label) = 1")
+def l13_centroid_assignment(table):
+    """Each vector's nearest label mean."""
+    return K.centroid_distances(table("embeddings"), "label").select(F.col("id").alias("vec_id"), "nearest", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {DISTANCES_SQL}, s AS (SELECT vec_id, own_label, min(d) FILTER (label = own_label) AS own, min(d) FILTER (label <> own_label) AS other FROM d GROUP BY 1, 2) SELECT own_label AS label, count(*) AS n, round(avg((other - own) / (greatest(other, own) + 1e-12)), 6) AS margin FROM s GROUP BY own_label")
+def l26_centroid_margin(table):
+    """How much nearer the own label's mean is than the nearest other one, as a share of the larger distance."""
+    d = K.centroid_distances(table("embeddings"), "label")
+    share = (F.col("other") - F.col("own")) / (F.greatest("other", "own") + 1e-12)
+    return d.groupBy(F.col("own_group").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(share), 6).alias("margin"))

@@ -150,9 +150,11 @@ def j33_linear_calibration(table):
     return l.agg(F.round(F.regr_slope("toxic", "p"), 6).alias("slope"), F.round(F.regr_intercept("toxic", "p"), 6).alias("intercept"))
 
 
-@query(f"""WITH {VIDEOS_SQL}, t AS (SELECT unnest([20, 60, 100, 140]) AS threshold), b AS (SELECT avg((views > 150000)::INT) AS base, count(*) AS n_all, count(*) FILTER (views > 150000) AS hits_all FROM videos)
-SELECT threshold, round(count(*) / any_value(n_all), 6) AS pass_rate, round(avg((views > 150000)::INT), 6) AS hit_rate, round(avg((views > 150000)::INT) / any_value(base), 6) AS lift,
-  round(count(*) FILTER (views > 150000) / any_value(hits_all), 6) AS recall, round(median(views), 1) AS median_views FROM t JOIN videos ON quantity >= threshold, b GROUP BY threshold""")
+@query(f"""WITH {VIDEOS_SQL}, t AS (SELECT unnest([20, 60, 100, 140]) AS threshold), b AS (SELECT avg((views > 150000)::INT) AS base, count(*) AS n_all, count(*) FILTER (views > 150000) AS hits_all FROM videos),
+w AS (SELECT threshold, count(*) AS n, avg((views > 150000)::INT) AS p, 1.959963984540054 AS z FROM t JOIN videos ON quantity >= threshold GROUP BY threshold),
+i AS (SELECT threshold, (p + z*z/(2*n)) / (1 + z*z/n) AS mid, z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n) AS half FROM w)
+SELECT threshold, any_value(round(mid - half, 6)) AS hit_low, any_value(round(mid + half, 6)) AS hit_high, round(count(*) / any_value(n_all), 6) AS pass_rate, round(avg((views > 150000)::INT), 6) AS hit_rate, round(avg((views > 150000)::INT) / any_value(base), 6) AS lift,
+  round(count(*) FILTER (views > 150000) / any_value(hits_all), 6) AS recall, round(median(views), 1) AS median_views FROM t JOIN videos ON quantity >= threshold JOIN i USING (threshold), b GROUP BY threshold""")
 def j35_threshold_risk(table):
     v = videos(table).select("quantity", "views", (F.col("views") > 150000).alias("hit"))
     base = v.agg(F.count(F.lit(1)).alias("n_all"), F.count_if("hit").alias("hits_all"))
@@ -160,7 +162,8 @@ def j35_threshold_risk(table):
     passed = v.select("*", F.explode(F.filter(F.array(*[F.lit(t) for t in (20, 60, 100, 140)]), lambda t: F.col("quantity") >= t)).alias("threshold"))
     mid = quantiles(passed, "views", {"m": 0.5}, "threshold").select("threshold", F.round("m", 1).alias("median_views"))
     a = passed.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("h")).join(mid, "threshold", "left").join(F.broadcast(base))
-    return a.select("threshold", F.round(F.col("n") / F.col("n_all"), 6).alias("pass_rate"), F.round(F.col("h") / F.col("n"), 6).alias("hit_rate"), F.round(F.col("h") / F.col("n") / (F.col("hits_all") / F.col("n_all")), 6).alias("lift"), F.round(F.col("h") / F.col("hits_all"), 6).alias("recall"), "median_views")
+    low, high = S.wilson(F.col("h"), F.col("n"))
+    return a.select("threshold", F.round(low, 6).alias("hit_low"), F.round(high, 6).alias("hit_high"), F.round(F.col("n") / F.col("n_all"), 6).alias("pass_rate"), F.round(F.col("h") / F.col("n"), 6).alias("hit_rate"), F.round(F.col("h") / F.col("n") / (F.col("hits_all") / F.col("n_all")), 6).alias("lift"), F.round(F.col("h") / F.col("hits_all"), 6).alias("recall"), "median_views")
 
 
 @query(f"WITH {VIDEOS_SQL}, s AS (SELECT source, views, rank() OVER (PARTITION BY source ORDER BY quantity) + (count(*) OVER (PARTITION BY source, quantity) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY source ORDER BY views) + (count(*) OVER (PARTITION BY source, views) - 1) / 2.0 AS ry FROM videos), r AS (SELECT source, corr(rx, ry) AS rho FROM s GROUP BY source HAVING count(*) >= 5) SELECT round(avg(rho), 6) AS macro_rho FROM r WHERE NOT isnan(rho)")
@@ -173,9 +176,11 @@ PAIRS = f"WITH {LONG_SQL}, pairs AS (SELECT l.video_id, l.metric AS a, r.metric
 C3 = PAIRS + ", c AS (SELECT a, b, corr(va, target) AS ra, corr(vb, target) AS rb, corr(va, vb) AS rab FROM pairs GROUP BY a, b)"
 
 
-@query(C3 + " SELECT a, b, round((ra*ra + rb*rb - 2*ra*rb*rab) / (1 - rab*rab) - ra*ra - rb*rb, 6) AS synergy FROM c")
+@query(PAIRS + """, c AS (SELECT a, b, corr(va, target) AS ra, corr(vb, target) AS rb, corr(va, vb) AS ab, corr(va * vb, target) AS rp, corr(va * vb, va) AS ap, corr(va * vb, vb) AS bp FROM pairs GROUP BY a, b),
+d AS (SELECT *, (ra*ra + rb*rb - 2*ra*rb*ab) / (1 - ab*ab) AS two, (ra*ra*(1 - bp*bp) + rb*rb*(1 - ap*ap) + rp*rp*(1 - ab*ab) + 2*ra*rb*(ap*bp - ab) + 2*ra*rp*(ab*bp - ap) + 2*rb*rp*(ab*ap - bp)) / (1 + 2*ab*ap*bp - ab*ab - ap*ap - bp*bp) AS three FROM c)
+SELECT a, b, round(two - ra*ra - rb*rb, 6) AS synergy, round(three - two, 6) AS product_gain FROM d""")
 def j40_synergy(table):
-    return X.synergy(metric_values(table)).select("a", "b", *r6("synergy"))
+    return X.synergy(metric_values(table)).select("a", "b", *r6("synergy", "product_gain"))
 
 
 @query(PAIRS + " SELECT a, b, count(*) AS n, round(corr(va, vb), 6) AS r FROM pairs GROUP BY a, b")
@@ -193,9 +198,9 @@ def k3_triple_product(table):
     return X.triple_correlation(metric_values(table)).select("a", "b", "c", *r6("r_product"))
 
 
-@query(f"WITH {LONG_SQL}{RANKS} SELECT l.metric AS a, r.metric AS b, round(corr(l.rx, r.rx), 6) AS rho FROM ranks l JOIN ranks r ON l.video_id = r.video_id AND l.metric < r.metric GROUP BY 1, 2")
+@query(f"WITH {LONG_SQL}{RANKS} SELECT l.metric AS a, r.metric AS b, round(corr(l.rx, r.rx), 6) AS rho, round(corr(l.value, r.value), 6) AS r, round(abs(corr(l.rx, r.rx)) - abs(corr(l.value, r.value)), 6) AS gap FROM ranks l JOIN ranks r ON l.video_id = r.video_id AND l.metric < r.metric GROUP BY 1, 2")
 def k4_rank_pair(table):
-    return X.rank_pair(metric_values(table)).select("a", "b", *r6("rho"))
+    return X.rank_pair(metric_values(table)).select("a", "b", *r6("rho", "r", "gap"))
 
 
 def curve_sql(k):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from creatorlake.operators.clusters import gated_clusters, spherical_kmeans
+from creatorlake.operators.clusters import centroid_distances, gated_clusters, spherical_kmeans
 from creatorlake.operators.components import connected_components, exact_edges, mutual_edges, purged
 from creatorlake.operators.isotonic import isotonic_fit, isotonic_levels, survival_and_replay
 from creatorlake.operators.neighbours import cosine_neighbours, cosine_weighted_mean
@@ -166,3 +166,19 @@ def test_survival(spark):
         s = max(down[i], 1e-4) / down[0]
         assert got["u", i] == (pytest.approx(s), pytest.approx(max(v / curve[0] - s, 0)))
     assert got["z", 1] == (1.0, None)
+
+
+def test_centroid_distances(spark):
+    v = vectors(60, 3)
+    df = spark.createDataFrame([*[(i, x.tolist(), "abc"[i % 3]) for i, x in enumerate(v)], (90, None, "a"), (91, [1.0] * 3, None), (92, [1.0], "a"), (93, [float("nan")] * 3, "b")], "vec_id long, embedding array<double>, g string")
+    means = np.array([v[i::3].mean(axis=0) for i in range(3)])
+    d = np.linalg.norm(v[:, None] - means[None], axis=2)
+    got = {r.id: r for r in centroid_distances(df, "g").collect()}
+    assert set(got) == set(range(60))
+    for i, r in got.items():
+        other = [x for k, x in enumerate(d[i]) if k != i % 3]
+        assert r.nearest == "abc"[d[i].argmin()] and (r.distance, r.own, r.other) == pytest.approx((d[i].min(), d[i, i % 3], min(other)), abs=2e-9)
+    assert centroid_distances(df.filter("g = 'a'"), "g").filter("other is not null").count() == 0
+    assert centroid_distances(df.limit(0), "g").count() == 0
+    with pytest.raises(ValueError, match="too many"):
+        centroid_distances(df, "g", most=5)
