@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,47 @@ def history(rows: DataFrame, source: str, published: str, observed: str, ident:
     return rows.join(prior, when, "left").groupBy(ident).agg(*[c.alias(n) for n, c in measures.items()])
 
 
+def _two_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows by source and time: the largest value before each asking row among those of other families; two values are all that is held."""
+    now, best = object(), []
+    for b in batches:
+        out = []
+        for source, asks, family, value in zip(*(b[c].to_pylist() for c in ("s", "asks", "family", "value")), strict=True):
+            if source != now:
+                now, best = source, []
+            if asks:
+                out.append(next((v for v, f in best if f != family), None))
+            else:
+                out.append(None)
+                if value is not None:
+                    # the best of a family, and the best of another
+                    top = sorted([*best, (value, family)], key=lambda x: -x[0])
+                    best = [top[0], *[x for x in top[1:] if x[1] != top[0][1]][:1]]
+        yield pa.RecordBatch.from_arrays([b["ident"], b["asks"], pa.array(out, pa.float64())], names=["ident", "asks", "prior_max"])
+
+
+def prior_outcomes(rows: DataFrame, source: str, published: str, observed: str, ident: str, family: str, value: str) -> DataFrame:
+    """(ident, prior_n, prior_mean, prior_max) over the rows of the same source, of other families, observed by the time the row was published.
+
+    Rows come once as asking and once as observed, in time order: running counts and sums of the source less those of the
+    family, and the largest value by a pass that holds two. No row meets another, so a source with very many rows costs its rows, not
+    their square. A null family is a family of its own, a row isn't among its own priors; null values count for nothing, rows with a null ident, source or time take no part.
+    """
+    kind = rows.schema[ident].dataType.simpleString()
+    f, v = F.col(family).cast("string"), F.col(value).cast("double")
+    fine = rows.filter(F.col(ident).isNotNull() & F.col(source).isNotNull() & F.col(published).isNotNull())
+    asking = fine.select(F.col(source).alias("s"), F.col(ident).alias("ident"), F.col(published).cast("timestamp").alias("t"), F.lit(True).alias("asks"), f.alias("family"), F.lit(None).cast("double").alias("value"))
+    seen = fine.filter(F.col(observed).isNotNull()).select(F.col(source).alias("s"), F.col(ident).alias("ident"), F.col(observed).cast("timestamp").alias("t"), F.lit(False).alias("asks"), f.alias("family"), v.alias("value"))
+    both = asking.unionByName(seen)
+    # what is observed at a time is known to what is published then
+    before = lambda *by: Window.partitionBy(*by).orderBy("t", "asks", "ident").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    less = lambda x: F.coalesce(x.over(before("s")), F.lit(0)) - F.coalesce(x.over(before("s", "family")), F.lit(0))
+    sums = both.select("ident", "asks", less(F.count("value")).alias("prior_n"), less(F.sum("value")).alias("total")).filter("asks")
+    largest = both.repartition("s").sortWithinPartitions("s", "t", "asks", "ident").mapInArrow(_two_best, f"ident {kind}, asks boolean, prior_max double").filter("asks")
+    out = sums.join(largest.select("ident", "prior_max"), "ident")
+    return out.select(F.col("ident").alias(ident), "prior_n", F.when(F.col("prior_n") > 0, F.col("total") / F.col("prior_n")).alias("prior_mean"), "prior_max")
+
+
 def purged(train: DataFrame, test: DataFrame, family: str) -> DataFrame:
     """train without families that test has."""
     return train.join(test.select(family).distinct(), family, "left_anti")

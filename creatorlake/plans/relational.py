@@ -159,7 +159,8 @@ def c7_fuzzy_title_match(table):
 LEFT JOIN videos b ON a.source = b.source AND b.published + INTERVAL 30 DAY <= a.published AND b.video_id <> a.video_id AND b.kind IS DISTINCT FROM a.kind GROUP BY a.video_id""")
 def c9_asof_history(table):
     v = videos(table).select("video_id", "source", "published", "views", F.col("kind").alias("family"), (F.col("published") + F.expr("INTERVAL 30 DAYS")).alias("observed"))
-    return R.history(v, "source", "published", "observed", "video_id", "family", {"prior_n": F.count("p_video_id"), "prior_mean": F.round(F.avg("p_views"), 6), "prior_max": F.round(F.max("p_views"), 2)})
+    found = R.prior_outcomes(v, "source", "published", "observed", "video_id", "family", "views")
+    return found.select("video_id", "prior_n", F.round("prior_mean", 6).alias("prior_mean"), F.round("prior_max", 2).alias("prior_max"))
 
 
 @query(f"WITH {VIDEOS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published, video_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM videos) SELECT video_id, CASE WHEN i <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS part FROM n")
