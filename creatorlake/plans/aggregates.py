@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from creatorlake.functions import text as T
 from creatorlake.operators import experiments as X
 from creatorlake.operators import windows as W
 from creatorlake.plans.panel import LONG_SQL, VIDEOS_SQL, metric_values, videos
@@ -238,11 +239,16 @@ def f8_hash_sample(table):
     return table("documents").select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "source"), 256).alias("h")).orderBy("h").limit(50).select("doc_id")
 
 
-@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR), doc_id) AS i FROM documents) SELECT doc_id, source FROM r WHERE i <= 20")
+@query("""WITH s AS (SELECT source, sha256(source) AS h, CASE WHEN ('0x' || substr(sha256(source), 1, 2))::INT % 5 = 0 THEN 'evaluation' ELSE 'discovery' END AS part FROM (SELECT DISTINCT source FROM documents)),
+k AS (SELECT source, part FROM s QUALIFY row_number() OVER (PARTITION BY part ORDER BY h, source) <= 12)
+SELECT doc_id, source, part FROM documents JOIN k USING (source) QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR), doc_id) <= 20""")
 def f9_source_balanced_rows(table):
-    """A sampling operator: so many rows of each source by hash."""
-    d = table("documents").select("doc_id", "source", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
-    return W.latest(d, ["source"], [F.col("h"), F.col("doc_id")], 20).select("doc_id", "source")
+    """A sampling operator: a fifth of the sources, by hash, to evaluate on; of each part so many sources, of each source so many rows, by hash."""
+    d = table("documents").filter("source is not null").select("doc_id", "source", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    part = F.when(T.hash_fold(F.col("source"), 5) == 0, "evaluation").otherwise("discovery")
+    s = d.select("source").distinct().select("source", F.sha2("source", 256).alias("k"), part.alias("part"))
+    kept = W.latest(s, ["part"], [F.col("k"), F.col("source")], 12).select("source", "part")
+    return W.latest(d.join(kept, "source"), ["source"], [F.col("h"), F.col("doc_id")], 20).select("doc_id", "source", "part")
 
 
 @query("WITH v AS (SELECT o_custkey AS source, o_totalprice AS views FROM orders), s AS (SELECT source, max(views) AS top, min(views) AS bottom FROM v GROUP BY source) (SELECT 'top' AS side, source, top AS views FROM s ORDER BY top DESC, source LIMIT 10) UNION ALL (SELECT 'bottom', source, bottom FROM s ORDER BY bottom, source LIMIT 10)")

@@ -211,9 +211,12 @@ def o1_spans(table):
     return ij.select("name", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.array_join(F.slice("w", F.col("i"), F.col("j") - F.col("i") + 1), " ").alias("span"))
 
 
-@query("WITH t AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ') AS w FROM part) SELECT name, i, array_to_string(list_filter(w, lambda x, k: k <> i), ' ') AS variant FROM (SELECT name, w, unnest(range(1, len(w) + 1)) AS i FROM t)")
+@query("""WITH t AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ') AS w FROM part), i AS (SELECT name, w, unnest(range(1, len(w) + 1)) AS i FROM t), j AS (SELECT name, w, i, unnest(range(i, len(w) + 1)) AS j FROM i)
+SELECT name, i, j, array_to_string(list_filter(w, lambda x, k: k <> i AND k <> j), ' ') AS variant FROM j""")
 def o2_leave_one_out(table):
-    """A text without each of its words in turn."""
+    """A text without each of its words (i = j), and without each pair of them."""
     t = table("part").select(F.col("p_name").alias("name")).distinct().withColumn("w", F.split("name", " "))
-    i = t.select("name", "w", F.posexplode("w").alias("k", "gone"))
-    return i.select("name", (F.col("k") + 1).cast("long").alias("i"), F.array_join(F.filter("w", lambda x, at: at != F.col("k")), " ").alias("variant"))
+    i = t.select("name", "w", F.posexplode("w").alias("a", "gone"))
+    both = i.select("name", "w", "a", F.explode(F.sequence(F.col("a"), F.size("w") - 1)).alias("b"))
+    variant = F.array_join(F.filter("w", lambda x, at: (at != F.col("a")) & (at != F.col("b"))), " ")
+    return both.select("name", (F.col("a") + 1).cast("long").alias("i"), (F.col("b") + 1).cast("long").alias("j"), variant.alias("variant"))

@@ -126,10 +126,12 @@ def i3_retention_at_second(table):
     return curves(table).select("user_id", F.round(A.at(F.col("c"), 12) + (A.at(F.col("c"), 13) - A.at(F.col("c"), 12)) * 0.5, 9).alias("at_12_5"))
 
 
-@query(f"WITH {CURVES_SQL} SELECT user_id, round(list_avg(c[1:5]), 9) AS mean5, round(list_max(c[1:5]), 9) AS peak, (list_position(c[1:5], list_max(c[1:5])) - 1)::BIGINT AS peak_at, round(c[5] - c[1], 9) AS delta, round(list_max(c[1:5]) - list_min(c[1:5]), 9) AS spread FROM curve")
+@query(f"WITH {CURVES_SQL} SELECT user_id, round(list_avg(c[1:5]), 9) AS mean5, round(list_max(c[1:5]), 9) AS peak, (list_position(c[1:5], list_max(c[1:5])) - 1)::BIGINT AS peak_at, round(c[5] - c[1], 9) AS delta, round(list_max(c[1:5]) - list_min(c[1:5]), 9) AS spread, round((2 * (c[5] - c[1]) + c[4] - c[2]) / 10, 9) AS slope FROM curve")
 def i16_first_seconds(table):
     head = F.slice("c", 1, 5)
-    return curves(table).select("user_id", F.round(A.mean(head), 9).alias("mean5"), F.round(F.array_max(head), 9).alias("peak"), (F.array_position(head, F.array_max(head)) - 1).alias("peak_at"), F.round(F.col("c")[4] - F.col("c")[0], 9).alias("delta"), F.round(F.array_max(head) - F.array_min(head), 9).alias("spread"))
+    # least squares over five equal steps
+    slope = F.aggregate(F.transform(head, lambda x, i: x * (i - 2)), F.lit(0.0), lambda s, x: s + x) / 10
+    return curves(table).select("user_id", F.round(A.mean(head), 9).alias("mean5"), F.round(F.array_max(head), 9).alias("peak"), (F.array_position(head, F.array_max(head)) - 1).alias("peak_at"), F.round(F.col("c")[4] - F.col("c")[0], 9).alias("delta"), F.round(F.array_max(head) - F.array_min(head), 9).alias("spread"), F.round(slope, 9).alias("slope"))
 
 
 @query(f"WITH {CURVES_SQL} SELECT user_id, round(list_avg(c[1:33]), 9) AS front, round(list_avg(c[68:100]), 9) AS back FROM curve")
