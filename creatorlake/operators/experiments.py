@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creatorlake.operators.statistics import corr
 from creatorlake.operators.windows import quantiles, value_class, value_places, with_average_rank
+from creatorlake.sources.steps import step
 
 
 def unpivoted(df: DataFrame, ident: str, metrics: list[str], target: Column) -> DataFrame:
@@ -126,3 +127,25 @@ def strength(r: Column) -> Column:
 def diverse_top(df: DataFrame, group: str, score: Column, n: int) -> DataFrame:
     """Round-robin over groups by score: each group's best first, then the second bests, up to n rows."""
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(score.desc(), F.col("metric")))).orderBy("turn", score.desc(), "metric").limit(n)
+
+
+def local_rate(df: DataFrame, ident: str, score: str, label: str, share: int = 20, piece: int = 65_536) -> DataFrame:
+    """(ident, rate): the mean label of the rows whose place by score is within one `share`-th of all rows, at least one, of a row's own.
+
+    A row's place is the number of smaller scores; the neighbourhood is [place - radius, place + radius), cut at the ends, its
+    rows in order of score and ident. Sums up to each place are made by pieces of the order, and the rate of a score is the difference of two of them, so no
+    window slides over all rows. Rows with a null in any column or a NaN score are left out.
+    """
+    fine = df.select(F.col(ident).alias("video_id"), F.col(score).cast("double").alias("value"), F.col(label).cast("double").alias("__y"), F.lit(0).alias("metric")).dropna()
+    placed = step(order_in_metric(fine), "placed").withColumn("__piece", F.expr(f"cast(place as long) div {piece}"))
+    inside = F.sum("__y").over(Window.partitionBy("__piece").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pieces = placed.groupBy("__piece").agg(F.sum("__y").alias("__s"))
+    before = pieces.select("__piece", F.coalesce(F.sum("__s").over(Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))
+    sums = step(placed.withColumn("__in", inside).join(F.broadcast(before), "__piece").select(F.col("place").cast("long").alias("place"), (F.col("__before") + F.col("__in")).alias("sum")), "sums")
+    radius = F.greatest(F.lit(1), F.expr(f"cast(n as long) div {share}"))
+    scores = placed.groupBy("value").agg(F.min("place").cast("long").alias("__at"), F.first("n").cast("long").alias("n"))
+    ends = scores.select("value", F.greatest(F.col("__at") - radius, F.lit(0)).alias("__low"), F.least(F.col("__at") + radius, F.col("n")).alias("__high"))
+    up = ends.join(sums.select((F.col("place") + 1).alias("__high"), F.col("sum").alias("__to")), "__high")
+    both = up.join(sums.select((F.col("place") + 1).alias("__low"), F.col("sum").alias("__from")), "__low", "left")
+    rate = both.select("value", ((F.col("__to") - F.coalesce("__from", F.lit(0.0))) / (F.col("__high") - F.col("__low"))).alias("rate"))
+    return placed.select("video_id", "value").join(rate, "value").select(F.col("video_id").alias(ident), "rate")

@@ -170,10 +170,13 @@ def l26_entropy_and_generality(table):
     return c.groupBy(F.col("a").alias("lang")).agg(F.round(-F.sum(p * F.ln(p)), 6).alias("entropy"), F.count(F.lit(1)).alias("groups")).join(kinds).select("lang", "entropy", "groups", F.round(F.col("groups") / F.col("all_sources"), 6).alias("generality"))
 
 
-@query("SELECT o_orderkey, round(avg((o_totalprice > 150000)::INT) OVER (PARTITION BY o_orderpriority, o_orderdate::DATE ORDER BY o_totalprice, o_orderkey ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS rate FROM orders")
+@query("""WITH o AS (SELECT o_orderkey, (o_orderstatus = 'F')::INT AS y, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place, rank() OVER (ORDER BY o_totalprice) - 1 AS mid, count(*) OVER () AS n FROM orders),
+c AS (SELECT place, sum(y) OVER (ORDER BY place) AS s FROM o), b AS (SELECT o_orderkey, greatest(mid - greatest(1, n // 20), 0) AS low, least(mid + greatest(1, n // 20), n) AS high FROM o)
+SELECT o_orderkey, round((h.s - coalesce(l.s, 0)) / (high - low), 6) AS rate FROM b JOIN c h ON h.place = high - 1 LEFT JOIN c l ON l.place = low - 1""")
 def n13_local_rate(table):
-    w = Window.partitionBy("o_orderpriority", F.to_date("o_orderdate")).orderBy("o_totalprice", "o_orderkey").rowsBetween(-5, 5)
-    return table("orders").select("o_orderkey", F.round(F.avg((F.col("o_totalprice") > 150000).cast("int")).over(w), 6).alias("rate"))
+    """The share of finished orders among those whose price ranks within 5 % of an order's own."""
+    o = table("orders").select("o_orderkey", "o_totalprice", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return X.local_rate(o, "o_orderkey", "o_totalprice", "y").select("o_orderkey", F.round("rate", 6).alias("rate"))
 
 
 @query("WITH p AS (SELECT user_id, min(ts) AS at FROM events GROUP BY user_id), c AS (SELECT e.user_id, e.event_id, e.value, abs(epoch_us(e.ts) - epoch_us(p.at) - 259200000000) AS off FROM events e JOIN p USING (user_id) WHERE abs(epoch_us(e.ts) - epoch_us(p.at) - 259200000000) <= 129600000000) SELECT user_id, arg_min(value, (off, event_id)) AS outcome FROM c GROUP BY user_id")
