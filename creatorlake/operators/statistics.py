@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creatorlake.operators.windows import value_places
+from creatorlake.operators.windows import value_places, with_average_rank
 from creatorlake.sources.steps import step
 
 Z95 = 1.959963984540054
