@@ -13,7 +13,7 @@ from creatorlake.llm import byte_bpe, langid
 from creatorlake.llm.common import written
 from creatorlake.llm.decontamination import contamination
 from creatorlake.llm.pii import pseudonymised
-from creatorlake.llm.simhash import one_of_each
+from creatorlake.llm.simhash import first_of_each
 
 #: SQL has no word for these stages; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return one_of_each(docs)
+    """Of each component of the SimHash index the document with the smallest doc_id stays."""
+    return first_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -87,6 +87,25 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str | list[str], times: st
     return rows.join(often, key).unionByName(rows.join(often.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(seldom, key))
 
 
+def staying(df: DataFrame, ident: str, digest: Column, decided: DataFrame) -> DataFrame:
+    """The rows of df that stay; of rows equal in ident and digest, one.
+
+    decided: ident, t (the digest), times (how many such rows df has) and stays, true or null. Only what goes is joined with df.
+    """
+    mark, i, u = free(df, "__digest", "__ident", "__of")
+    marked = df.withColumn(mark, digest)
+
+    def only(x: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        which = which.select(F.col("ident").alias(i), F.col("t").alias(u))
+        return x.join(which, x[ident].eqNullSafe(which[i]) & (x[mark] == which[u]), how)
+
+    left = only(marked, decided.filter("stays is null"), "left_anti")
+    again = decided.filter("stays and times > 1")
+    if not again.isEmpty():
+        left = only(left, again, "left_anti").unionByName(only(left, again, "left_semi").dropDuplicates([ident, mark]))
+    return left.drop(mark)
+
+
 def chunks(column: pa.Array, most: int = 1_000_000):
     """Index ranges (start, end) of a text column with about `most` bytes each, so that what is made of them stays small."""
     start = size = 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from creatorlake.llm.common import column_of, each_text, free, light, sliced, written
+from creatorlake.llm.common import column_of, each_text, light, sliced, staying, written
 from creatorlake.llm.components import components
 from creatorlake.llm.shingles import shingle_hashes
 
@@ -275,15 +275,4 @@ def _kept(df: DataFrame, text: str, ident: str, words: int, alike: str) -> DataF
     stay = of_set.select(F.col("first.ident").alias("i"), F.col("first.t").alias("u"), F.lit(True).alias("stays"))
     pairs = scanned.groupBy("ident", "t").agg(F.count(F.lit(1)).alias("times"))
     pairs = written(pairs.join(stay, F.col("ident").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u")), "left").select("ident", "t", "times", "stays"), "decided")
-    mark, i, u = free(df, "__digest", "__ident", "__of")
-    marked = df.withColumn(mark, digest)
-
-    def only(x: DataFrame, which: DataFrame, how: str) -> DataFrame:
-        which = which.select(F.col("ident").alias(i), F.col("t").alias(u))
-        return x.join(which, x[ident].eqNullSafe(which[i]) & (x[mark] == which[u]), how)
-
-    left = only(marked, pairs.filter("stays is null"), "left_anti")
-    again = pairs.filter("stays and times > 1")
-    if not again.isEmpty():
-        left = only(left, again, "left_anti").unionByName(only(left, again, "left_semi").dropDuplicates([ident, mark]))
-    return left.drop(mark)
+    return staying(df, ident, digest, pairs)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creatorlake.llm.common import each_text, looked_up, sliced, written
+from creatorlake.llm.common import column_of, each_text, light, looked_up, sliced, staying, written
 from creatorlake.llm.components import components
 from creatorlake.llm.near_copies import one_of_each  # noqa: F401
 from creatorlake.llm.shingles import shingle_hashes
@@ -237,3 +237,18 @@ def grouped(scanned: DataFrame, ident: str, limit: int, masks: list[int], width:
     hexed = F.concat(*[F.lower(F.lpad(F.hex(F.col(g).bitwiseXOR(F.shiftrightunsigned(g, 1))), 16, "0")) for g in names])
     rest = [c for c in scanned.columns if c not in names]
     return looked_up(scanned, written(of_node, "groups"), names, "times", scanned.count()).select(*rest, hexed.alias("fingerprint"), "component_id")
+
+
+def first_of_each(df: DataFrame, text: str = "text", ident: str = "doc_id", words: int = 4, width: int = 1, limit: int = 4, masks: list[int] | None = None) -> DataFrame:
+    """The rows of df that stay when of each component of near_duplicates only the one with the smallest ident does (of equal idents, any one row).
+
+    A null ident is the largest. Rows are told apart by ident and text; of rows equal in both, one stays. df is read several times and must be the same each time.
+    """
+    text, ident = column_of(df, text), column_of(df, ident)
+    digest = F.xxhash64(F.col(text).cast("string"))
+    key = F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("ident"), digest.alias("t"))
+    with light(df.sparkSession):
+        found = near_duplicates(df.select(key.alias("key"), F.col(text).alias("text")), "text", "key", words, width, limit, masks)
+        stays = F.bool_or(F.when(F.col("key").eqNullSafe(F.col("component_id")), True)).alias("stays")
+        decided = written(found.groupBy("key.ident", "key.t").agg(F.count(F.lit(1)).alias("times"), stays), "decided")
+        return staying(df, ident, digest, decided)

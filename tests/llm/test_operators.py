@@ -397,6 +397,18 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(7, text(1)), (7, text(2)), (0, text(3)), (3, "")]) and len(out.columns) == 7
 
 
+def test_first_of_each_is_what_the_index_leaves(spark, docs, none):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(docs.select("doc_id", "text").filter("doc_id < 3"))
+    d = d.withColumn("doc_id", F.when(F.col("text").isNull() | (F.col("text") == ""), F.col("doc_id") + 9000).otherwise(F.col("doc_id")))
+    firsts = [r.doc_id for r in simhash.near_duplicates(d).filter("doc_id = component_id").collect()]
+    assert sorted(r.doc_id for r in simhash.first_of_each(d).collect()) == sorted(firsts) and len(firsts) < d.count()
+    text = lambda k: " ".join(f"w{k}_{i}" for i in range(30))
+    rows = [(7, text(1), "en", "a", 1), (7, text(1), "en", "a", 1), (7, text(2), "en", "a", 2), (None, text(3), "en", "a", 3), (None, text(3), "de", "a", 3), (9, text(2), None, None, None), (None, None, "en", "a", 0), (3, "", "en", "a", 0)]
+    out = simhash.first_of_each(spark.createDataFrame(rows, DOCS).withColumn("__digest", F.lit(1)).withColumn("Key", F.lit(2)))
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(7, text(1)), (7, text(2)), (0, text(3)), (3, "")]) and len(out.columns) == 7
+    assert simhash.first_of_each(none).count() == 0
+
+
 def test_language_evidence(spark, docs, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(d.filter("doc_id % 2 = 0"), "text", "lang")
