@@ -46,8 +46,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def byte_bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and whether decoding the ids gives the text again."""
     vocabulary = byte_bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), vocabulary).drop("offsets")
-    both = byte_bpe.decode(encoded, vocabulary)
+    both = byte_bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), vocabulary, offsets=None, decoded="decoded")
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"))
 
 
@@ -57,5 +56,5 @@ STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamin
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", tidy=True)
     return docs

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creatorlake.llm import langid
-from creatorlake.llm.byte_bpe import Vocabulary, decode, encode
+from creatorlake.llm.byte_bpe import Vocabulary, encode
 from creatorlake.llm.common import read, shared_dir
 from creatorlake.llm.conversation_trie import numbered_turns, prefix_trie, with_shared_openings
 from creatorlake.llm.decontamination import contamination
@@ -45,8 +45,7 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = encode(read(spark, sf_dir, "documents"), vocabulary, keep=("doc_id",))
-    both = decode(encoded.drop("offsets"), vocabulary)
+    both = encode(read(spark, sf_dir, "documents"), vocabulary, offsets=None, keep=("doc_id",), decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -111,6 +111,33 @@ def test_token_starts_are_those_of_the_pattern(parts):
     assert [text[s:e] for s, e in zip(at, [*at[1:], len(text)])] == regex.findall(public_tokenizers.PATTERN, text)
 
 
+def test_pieces_merged_together_are_those_merged_alone(monkeypatch):
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(6)
+    some = ["".join(rng.choice("abcdeéж the\u4e2d'0") for _ in range(rng.randint(1, 60))) for _ in range(3000)] + ["a" * k for k in range(1, 65)]
+    coded = [p.encode() for p in some]
+    expected = [byte_bpe.merged(p, ranks) for p in coded]
+    pieces = byte_bpe._Pieces(ranks)
+    assert [np.frombuffer(x, np.int32).tolist() for x in byte_bpe.merged_together(coded, pieces.pairs)] == expected and byte_bpe.merged_together([], pieces.pairs) == []
+    monkeypatch.setattr(byte_bpe, "CACHED_PIECES", 500)
+    seen = []
+    together = byte_bpe.merged_together
+    monkeypatch.setattr(byte_bpe, "merged_together", lambda p, pairs: seen.extend(p) or together(p, pairs))
+    for i in range(0, len(some), 100):  # a piece that is asked for all the time outlives a full cache
+        part = [*some[i : i + 100], "zqxzqxj"]
+        pieces.learn(part)
+        assert [np.frombuffer(pieces[p], np.int32).tolist() for p in part[:-1]] == expected[i : i + 100] and len(pieces) + len(pieces.before) < 1300
+    assert seen.count(b"zqxzqxj") == 1
+
+
+def test_ids_are_the_same_without_offsets_and_decode_in_one_pass(spark, docs):
+    vocabulary = byte_bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    both = byte_bpe.encode(docs, vocabulary)
+    alone = byte_bpe.encode(docs, vocabulary, offsets=None, decoded="decoded")
+    assert sorted(str((r.doc_id, r.decoded)) for r in alone.collect()) == sorted(str((r.doc_id, r.decoded)) for r in byte_bpe.decode(both, vocabulary).collect())
+    assert "offsets" not in alone.columns and sorted(str((r.doc_id, r.ids)) for r in alone.collect()) == sorted(str((r.doc_id, r.ids)) for r in both.collect())
+
+
 def test_bpe_is_tiktokens_and_decodes(spark, docs, none):
     vocabulary = byte_bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
