@@ -2,14 +2,13 @@
 
 Rows are dealt to shards by a coarse KD-tree over a bounded sample; every row is then searched for real. A query first
 looks in the shard that would hold it, which gives a k-th best score. That score travels to the other shards: one whose
-bounding box can't reach it is never visited, and inside a visited one the tree is walked best box first until no box
-can reach the k-th best.
+bounding box can't reach it is never visited. A query goes once to each group of shards; there blocks of queries walk the
+trees together: at a node those stay whose k-th best its box can reach, and a leaf is one product for all that get there.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import ceil, isqrt, log2
 
@@ -22,6 +21,8 @@ from creatorlake.llm.common import written
 from creatorlake.llm.vectors import int_matrix, quantised
 
 LEAF_ROWS, SHARD_ROWS, SAMPLE_ROWS = 32, 1024, 60_000
+#: About so many groups of shards at least, so many components in one at most (a shard at least), so many queries in a block.
+GROUPS, GROUP_SIZE, BLOCK = 32, 2**20, 1024
 
 
 def _split(points: np.ndarray, rows: np.ndarray) -> tuple[int, int] | None:
@@ -70,10 +71,10 @@ class Router:
 
 
 class Tree:
-    """Median splits down to LEAF_ROWS rows; each node keeps its tight bounding box."""
+    """Median splits down to LEAF_ROWS rows; each node keeps its tight bounding box. ids: those of each row."""
 
-    def __init__(self, points: np.ndarray):
-        self.points, self.low, self.high, self.kids, self.rows = points, [], [], [], []
+    def __init__(self, points: np.ndarray, ids: list[list[int]]):
+        self.low, self.high, self.kids, self.leaves, self.ids = [], [], [], {}, ids
         stack = [(np.arange(len(points)), None, 0)]
         while stack:
             rows, parent, side = stack.pop()
@@ -84,32 +85,47 @@ class Tree:
             self.high.append(points[rows].max(axis=0))
             split = _split(points, rows) if len(rows) > LEAF_ROWS else None
             self.kids.append([-1, -1] if split else [])
-            self.rows.append(rows)
             if split:
                 left = points[rows, split[0]] <= split[1]
                 stack += [(rows[left], at, 0), (rows[~left], at, 1)]
+            else:
+                self.leaves[at] = rows, points[rows].T
         self.low, self.high = np.array(self.low), np.array(self.high)
 
-    def search(self, q: np.ndarray, bounds: list[float], ids: list[list[int]], k: int, least: float | None, each: int) -> list[tuple[int, int]]:
-        """(-score, id) of the k best, at most `each` of one id, those below `least` left out; ties to smaller ids."""
-        best: list[tuple[int, int]] = []
-        heap = [(-bounds[0], 0)]
-        while heap:
-            bound, at = heapq.heappop(heap)
-            if least is not None and -bound < least:
-                break
-            if self.kids[at]:
-                for kid in self.kids[at]:
-                    heapq.heappush(heap, (-bounds[kid], kid))
-                continue
-            rows = self.rows[at]
-            scores = self.points[rows] @ q
-            keep = range(len(rows)) if least is None else np.flatnonzero(scores >= least)
-            best += [(-int(scores[i]), x) for i in keep for x in ids[rows[i]]]
-            best = first_of_each(sorted(best), k, each)
-            if len(best) == k:
-                least = -best[-1][0] if least is None else max(least, -best[-1][0])
-        return best
+    def search(self, queries: np.ndarray, best: list[list[tuple[int, int]]], least: np.ndarray, k: int, each: int) -> None:
+        """Betters for each query its best, (-score, id) of the k best so far, at most `each` of one id, ties to smaller ids.
+
+        Scores below a query's least are left out; it rises to the k-th best.
+        """
+        bounds = np.ascontiguousarray(box_bounds(queries, self.low, self.high).T)
+
+        def look(at: int, who: np.ndarray) -> None:
+            rows, points = self.leaves[at]
+            scores = queries[who] @ points
+            i, j = np.nonzero(scores >= least[who, None])
+            new = defaultdict(list)
+            for query, row, score in zip(who[i].tolist(), rows[j].tolist(), scores[i, j].tolist(), strict=True):
+                new[query] += [(-int(score), x) for x in self.ids[row]]
+            for query, found in new.items():
+                best[query][:] = first_of_each(sorted(best[query] + found), k, each)
+                if len(best[query]) == k:
+                    least[query] = max(least[query], -best[query][-1][0])
+
+        # what has no limit yet gets one in the leaf that promises most
+        leaves, seen = np.array(list(self.leaves)), np.full(len(queries), -1)
+        open_ = np.flatnonzero(least == lowest(queries.dtype))
+        if len(open_):
+            seen[open_] = leaves[bounds[leaves][:, open_].argmax(axis=0)]
+            for at in np.unique(seen[open_]).tolist():
+                look(at, open_[seen[open_] == at])
+        stack = [(0, np.arange(len(queries)))]
+        while stack:
+            at, who = stack.pop()
+            who = who[(bounds[at, who] >= least[who]) & (seen[who] != at)]
+            if len(who) and self.kids[at]:
+                stack += [(kid, who) for kid in sorted(self.kids[at], key=lambda kid: bounds[kid, who].mean())]
+            elif len(who):
+                look(at, who)
 
 
 def first_of_each(found: list[tuple[int, int]], k: int, each: int) -> list[tuple[int, int]]:
@@ -130,9 +146,18 @@ def box_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
 
 
 def exact_kind(dim: int, most: int) -> type:
-    """What inner products of components of at most this size are exact in: doubles up to 2**53, int64 up to 2**63, else Python integers."""
+    """What inner products of components of at most this size are exact in: floats up to 2**24, doubles up to 2**53, int64 up to 2**63, else Python integers."""
     bound = dim * most * most
-    return np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
+    return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
+
+
+def lowest(kind: type) -> float:
+    """What lies below all scores of a kind."""
+    return -(2**63) if kind == np.int64 else float("-inf")
+
+
+def _limits(column: pa.Array, kind: type) -> np.ndarray:
+    return np.array([lowest(kind) if x is None else x for x in column.to_pylist()], kind)
 
 
 def _matrix(column: pa.Array, dim: int, kind: type) -> np.ndarray:
@@ -145,40 +170,46 @@ def _longs(values: list[int]) -> pa.Array:
     return pa.array(values, pa.int64())
 
 
-def _visits(shards: DataFrame, queries: DataFrame, dim: int, kind_of: type, k: int, each: int) -> DataFrame:
-    """(node, score, vec_id): up to k best of each query in each shard it visits, at most `each` of one id.
+def _visits(shards: DataFrame, queries: DataFrame, dim: int, kind_of: type, k: int, each: int, home: bool) -> DataFrame:
+    """(node, score, vec_id): up to k best of each query in each group it visits, at most `each` of one id.
 
-    shards: shard, v, ids; queries: shard, node, v, least. A task holds the tree of one shard; queries stream past it.
+    shards: group, shard, v, ids; queries: group, shard (its own), node, v, least. With home a query looks in its own
+    shard, else in all others of the group. A task holds the trees of one group; blocks of queries stream past them.
     """
-    a = shards.select("shard", F.lit(0).alias("kind"), "v", "ids", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("least"))
-    b = queries.select("shard", F.lit(1).alias("kind"), "v", F.lit(None).cast("array<long>").alias("ids"), "node", "least")
-    rows = a.union(b).repartition("shard").sortWithinPartitions("shard", "kind")
+    a = shards.select("group", F.lit(0).alias("kind"), "shard", "v", "ids", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("least"))
+    b = queries.select("group", F.lit(1).alias("kind"), "shard", "v", F.lit(None).cast("array<long>").alias("ids"), "node", "least")
+    rows = a.union(b).repartition("group").sortWithinPartitions("group", "kind", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, ids, tree = None, [], [], None
+        now, parts, trees = None, [], {}
         for batch in batches:
-            shard, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(shard)]
+            group, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(group)]
             for s, e in zip(edges, edges[1:], strict=False):
                 if s == e:
                     continue
-                if shard[s] != now:
-                    now, parts, ids, tree = shard[s], [], [], None
+                if group[s] != now:
+                    now, parts, trees = group[s], [], {}
                 part = batch.slice(s, e - s)
-                points = _matrix(part.column(2), dim, kind_of)
+                shard, points = part.column(2).to_numpy(), _matrix(part.column(3), dim, kind_of)
                 if kind[s] == 0:
-                    parts.append(points)
-                    ids += part.column(3).to_pylist()
-                    continue
-                if not parts:
+                    parts.append((shard, points, part.column(4).to_pylist()))
                     continue
-                tree = tree or Tree(np.concatenate(parts))
-                out = []
-                for i in range(0, len(points), 256):
-                    block = points[i : i + 256]
-                    for q, bounds, node, least in zip(block, box_bounds(block, tree.low, tree.high).tolist(), part.column(4)[i : i + 256].to_pylist(), part.column(5)[i : i + 256].to_pylist(), strict=True):
-                        out += [(node, -s, x) for s, x in tree.search(q, bounds, ids, k, least, each)]
-                yield pa.RecordBatch.from_arrays([_longs([r[c] for r in out]) for c in range(3)], names=["node", "score", "vec_id"])
+                if parts:
+                    of, held, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [x for p in parts for x in p[2]]
+                    trees = {n: Tree(held[of == n], [ids[i] for i in np.flatnonzero(of == n)]) for n in np.unique(of).tolist()}
+                    parts = []
+                nodes, least = part.column(5).to_pylist(), _limits(part.column(6), kind_of)
+                for i in range(0, len(points), BLOCK):
+                    block, best = slice(i, i + BLOCK), [[] for _ in points[i : i + BLOCK]]
+                    for n, tree in trees.items():
+                        who = np.flatnonzero((shard[block] == n) == home)
+                        if len(who):
+                            limits = least[i + who]
+                            tree.search(points[i + who], [best[x] for x in who], limits, k, each)
+                            least[i + who] = limits
+                    out = [(node, -s, x) for node, found in zip(nodes[block], best, strict=True) for s, x in found]
+                    yield pa.RecordBatch.from_arrays([_longs([r[c] for r in out]) for c in range(3)], names=["node", "score", "vec_id"])
 
     return rows.mapInArrow(run, "node long, score long, vec_id long")
 
@@ -211,33 +242,36 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_id", ve
     share = min(1.0, SAMPLE_ROWS / max(1, n))
     sample = nodes.filter(F.pmod(F.xxhash64("v"), F.lit(10**6)) < int(share * 10**6)).select("v").limit(SAMPLE_ROWS).toArrow()
     points = _matrix(sample.column(0).combine_chunks(), dim, kind) if sample.num_rows else np.zeros((0, dim))
-    sent = spark.sparkContext.broadcast(Router(points, min(ceil(n / shard_rows), max(1, SAMPLE_ROWS // 8))))
+    router = Router(points, min(ceil(n / shard_rows), max(1, SAMPLE_ROWS // 8)))
+    sent = spark.sparkContext.broadcast(router)
+    together = max(1, min(GROUP_SIZE // (shard_rows * max(1, dim)), router.shards // GROUPS))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value.shard(_matrix(b.column(0), dim, kind))), *b.columns], names=["shard", "v", "ids", "node", "asked"])
+            shard = sent.value.shard(_matrix(b.column(0), dim, kind))
+            yield pa.RecordBatch.from_arrays([pa.array(shard // together), pa.array(shard), *b.columns], names=["group", "shard", "v", "ids", "node", "asked"])
 
-    shards = written(nodes.select("v", "ids", "node", "asked").mapInArrow(dealt, "shard int, v array<long>, ids array<long>, node long, asked boolean"), "shards")
-    queries = shards.filter("asked").select("shard", "node", "v")
-    home = written(_visits(shards, queries.withColumn("least", F.lit(None).cast("long")), dim, kind, room, k), "home")
+    shards = written(nodes.select("v", "ids", "node", "asked").mapInArrow(dealt, "group int, shard int, v array<long>, ids array<long>, node long, asked boolean"), "shards")
+    queries = shards.filter("asked").select("group", "shard", "node", "v")
+    home = written(_visits(shards, queries.withColumn("least", F.lit(None).cast("long")), dim, kind, room, k, True), "home")
     worst = home.groupBy("node").agg(F.when(F.count(F.lit(1)) == room, F.min("score")).alias("least"))
     boxes = _boxes(shards, dim, kind)
     sent_boxes = spark.sparkContext.broadcast(boxes)
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, low, high = sent_boxes.value
+        groups, first = np.unique(numbers // together, return_index=True)
         for b in batches:
-            # no score lies below -(2**63)
-            own, least = b.column(0).to_numpy(), np.array([-(2**63) if x is None else x for x in b.column(3).to_pylist()], np.int64).astype(kind)
-            q = _matrix(b.column(2), dim, kind)
-            for i in range(0, len(q), 1024):
-                hit = (box_bounds(q[i : i + 1024], low, high) >= least[i : i + 1024, None]) & (numbers[None, :] != own[i : i + 1024, None])
-                at, box = np.nonzero(hit)
-                picked = b.take(pa.array(at + i))
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[box].astype(np.int32)), *picked.columns[1:]], names=["shard", "node", "v", "least"])
-
-    away = queries.join(worst, "node", "left").select("shard", "node", "v", "least").mapInArrow(reach, "shard int, node long, v array<long>, least long")
-    found = home.union(_visits(shards, away, dim, kind, room, k))
+            own, q, least = b.column(0).to_numpy(), _matrix(b.column(2), dim, kind), _limits(b.column(3), kind)
+            for i in range(0, len(q), BLOCK):
+                hit = (box_bounds(q[i : i + BLOCK], low, high) >= least[i : i + BLOCK, None]) & (numbers[None, :] != own[i : i + BLOCK, None])
+                at, group = np.nonzero(np.logical_or.reduceat(hit, first, axis=1))
+                for j in range(0, len(at), 8 * BLOCK):
+                    picked = b.take(pa.array(at[j : j + 8 * BLOCK] + i))
+                    yield pa.RecordBatch.from_arrays([pa.array(groups[group[j : j + 8 * BLOCK]].astype(np.int32)), *picked.columns], names=["group", "shard", "node", "v", "least"])
+
+    away = queries.join(worst, "node", "left").select("shard", "node", "v", "least").mapInArrow(reach, "group int, shard int, node long, v array<long>, least long")
+    found = home.union(_visits(shards, away, dim, kind, room, k, False))
     if copies > k:
         found = found.withColumn("n", F.row_number().over(Window.partitionBy("node", "vec_id").orderBy(F.desc("score")))).filter(F.col("n") <= k)
     by_node = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id")
