@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits as DuckDB rounds it: x times a power of ten, halves away from zero; the sign of a zero stays.
+
+    Spark's own round takes the decimal digits that a double prints, and has no negative zero.
+    """
+    y = x * float(10**digits)
+    return F.when(F.abs(y) < float("inf"), F.signum(y) * F.round(F.abs(y)) / float(10**digits)).otherwise(x)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 

@@ -22,7 +22,7 @@ def curves(table):
     e = table("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
     span = e.groupBy("user_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("b > a")
     i = F.least(F.floor((F.col("t") - F.col("a")) * 100.0 / (F.col("b") - F.col("a"))), F.lit(99)).cast("int")
-    means = e.join(span, "user_id").groupBy("user_id", i.alias("i")).agg(F.round(F.avg("value") / 100, 6).alias("v"))
+    means = e.join(span, "user_id").groupBy("user_id", i.alias("i")).agg(F.avg("value").alias("v")).withColumn("v", A.rounded(F.col("v") / 100, 6))
     by = means.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
     return by.select("user_id", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("c"))
 
@@ -84,7 +84,7 @@ def i4_parameterised_curve_metrics(table):
 @query(f"WITH {CURVES_SQL}, e AS (SELECT user_id, c, list_avg(c[96:100]) AS e FROM curve) SELECT user_id, list_transform(c, lambda x: round((x - e) / (c[1] - e), 4)) AS shape FROM e WHERE abs(c[1] - e) > 0.02")
 def i5_affine_normalised(table):
     out = curves(table).select("user_id", C.normalised(F.col("c")).alias("s")).filter("s is not null")
-    return out.select("user_id", F.transform("s", lambda x: F.round(x, 4)).alias("shape"))
+    return out.select("user_id", F.transform("s", lambda x: A.rounded(x, 4)).alias("shape"))
 
 
 @query(f"WITH {CURVES_SQL}, h AS (SELECT i, ln(greatest(lead(v) OVER (PARTITION BY user_id ORDER BY i), 0.001) / greatest(v, 0.001)) AS h FROM pts) SELECT i, round(avg(h), 6) AS hazard FROM h WHERE i < 99 GROUP BY i")
