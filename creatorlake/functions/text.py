@@ -36,9 +36,13 @@ def singular(word: Column) -> Column:
     )
 
 
+#: Spaces of any width, which a text may begin and end with.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def words(text: Column) -> Column:
-    """White-space separated words; an empty array for null or blank texts."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    """Words between ASCII white space; an empty array for null or blank texts."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\f\r]+", " "), F.lit(SPACES))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
@@ -100,9 +104,13 @@ def duration_seconds(text: Column) -> Column:
 
 
 def leading_words(w: Column, seconds: float, duration: Column) -> Column:
-    """The words of the first seconds, if they come evenly over the duration."""
-    share = F.least(F.lit(1.0), F.lit(seconds) / duration)
-    return F.slice(w, 1, F.ceil(F.size(w) * share).cast("int"))
+    """The words of the first seconds, if they come evenly over the duration; all words where it is zero or null.
+
+    A negative duration gives a negative number of words, which counts from the end as a slice does.
+    """
+    share = F.when(duration != 0, F.least(F.lit(1.0), F.lit(seconds) / duration)).otherwise(1.0)
+    n = F.ceil(F.size(w) * share).cast("int")
+    return F.slice(w, 1, F.when(n < 0, F.greatest(F.size(w) + n + 1, F.lit(0))).otherwise(n))
 
 
 def mean_length(w: Column) -> Column:
