@@ -118,7 +118,13 @@ def mean_length(w: Column) -> Column:
 
 
 def _share(w: Column, test) -> Column:
-    return F.when(F.size(w) > 0, F.size(F.filter(w, test)) / F.size(w))
+    """NaN where there are no words."""
+    return F.when(F.size(w) > 0, F.size(F.filter(w, test)) / F.size(w)).otherwise(float("nan"))
+
+
+def per_second(n: Column, duration: Column) -> Column:
+    """Infinite over no time; NaN if nothing comes in no time."""
+    return F.when(duration == 0, F.when(n > 0, float("inf")).otherwise(float("nan"))).otherwise(n / duration)
 
 
 FIRST_PERSON, SECOND_PERSON = ("i", "me", "my", "we", "our"), ("you", "your", "yours")
@@ -137,7 +143,7 @@ def transcript_metrics(text: Column, w: Column, duration: Column) -> dict[str, C
         "transcript_word_count": n.cast("long"),
         "transcript_char_count": F.length(text).cast("long"),
         "transcript_number_count": F.regexp_count(text, F.lit("[0-9]+")).cast("long"),
-        "speech_rate_wps": n / duration,
+        "speech_rate_wps": per_second(n, duration),
         "question_count": marks("?").cast("long"),
         "exclamation_count": marks("!").cast("long"),
         "sentence_count": F.regexp_count(text, F.lit("[.!?]")).cast("long"),

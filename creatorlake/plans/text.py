@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from creatorlake.functions import arrays as A
 from creatorlake.functions import text as T
 from creatorlake.plans.registry import query
 
@@ -20,8 +21,8 @@ SELECT doc_id, len(w) AS transcript_word_count, length(text) AS transcript_char_
   round(len(list_filter(l, lambda x: x IN ('i', 'me', 'my', 'we', 'our'))) / len(w), 6) AS first_person_ratio, round(len(list_filter(l, lambda x: x IN ('you', 'your', 'yours'))) / len(w), 6) AS second_person_ratio FROM d""")
 def h_transcript_metrics(table):
     found = T.transcript_metrics(F.col("text"), F.col("__w"), F.col("n_chars") / 15.0)
-    ratio = lambda n, c: F.round(c, 6).alias(n) if n.endswith(("ratio", "wps", "length")) else c.alias(n)
-    return T.with_words(table("documents"), "text").select("doc_id", *[ratio(n, c) for n, c in found.items()])
+    ratio = lambda n: A.rounded(F.col(n), 6).alias(n) if n.endswith(("ratio", "wps", "length")) else n
+    return T.with_words(table("documents"), "text").select("doc_id", *[c.alias(n) for n, c in found.items()]).select("doc_id", *map(ratio, found))
 
 
 TITLE = "SELECT conv_id, turn, string_split(text, chr(10))[1] AS title FROM conversations"
