@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from math import ceil
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -13,55 +15,129 @@ from pyspark.sql import functions as F
 from creatorlake.operators.partitions import norm
 
 BLOCK_ROWS = 1024
+#: Queries of a group, by their components; a task holds one group with its lists.
+GROUP_SIZE = 2**22
+#: Rows are dealt to this many parts at most; rows of a part go by a group of queries in blocks of SEEN_ROWS.
+PARTS, SEEN_ROWS = 4, 2048
 #: Cosines are held to nine digits, so that equal ones tie.
 DIGITS = 9
 
 
-def _blocks(rows: DataFrame, dim: int, block_rows: int) -> DataFrame:
-    """(ids, x): rows packed to blocks, unit vectors as bytes."""
+def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """(ids, x, block): rows packed to blocks, vectors as bytes."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, block_rows):
                 part = b.slice(i, block_rows)
-                v = part["v"].flatten().to_numpy().reshape(part.num_rows, dim)
-                v = v / np.sqrt((v * v).sum(axis=1))[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array([part["id"].to_numpy().tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["ids", "x"])
-
-    return rows.mapInArrow(packed, "ids binary, x binary")
+                yield pa.RecordBatch.from_arrays([pa.array([x.to_numpy().tobytes()], pa.binary()) for x in (part["id"], part["v"].flatten())], names=["ids", "x"])
+
+    return rows.mapInArrow(packed, "ids binary, x binary").withColumn("block", F.monotonically_increasing_id())
+
+
+class _Lists:
+    """The k best rows of each of some queries, so far; pairs wait until a merge pays."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids, x, k
+        self.score, self.other = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+
+    def merge(self) -> None:
+        old = np.nonzero(self.score > -np.inf)
+        q, s, other = (np.concatenate(c) for c in zip((old[0], self.score[old], self.other[old]), *self.waiting, strict=True))
+        self.waiting = []
+        order = np.lexsort((other, -s, q))
+        q, s, other = q[order], s[order], other[order]
+        place = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.ids)))[q]
+        kept = place < self.k
+        at = q[kept], place[kept]
+        self.score[at], self.other[at] = s[kept], other[kept]
+
+    def see(self, ids: np.ndarray, v: np.ndarray) -> None:
+        """Products in single precision leave out what can't enter a list; the others are made in double precision."""
+        least, last = self.score[:, -1], self.other[:, -1]
+        n = len(ids)
+        at = None
+        if (least > -np.inf).all():
+            slack = (v.shape[1] + 4) * 1.2e-7 + 10.0**-DIGITS
+            at = np.flatnonzero(self.x.astype(np.float32) @ v.astype(np.float32).T >= (least - slack).astype(np.float32)[:, None])
+        if at is not None and len(at) <= len(self.ids) * n // 16:
+            score = np.concatenate([np.einsum("ij,ij->i", self.x[p // n], v[p % n]) for p in np.array_split(at, len(at) // 65536 + 1)])
+            score = np.round(score, DIGITS)
+        else:
+            # lists that aren't full, or many rows about as near as the last of a list
+            all_scores = np.round(self.x @ v.T, DIGITS)
+            all_scores[np.isnan(all_scores) | (self.ids[:, None] == ids[None, :])] = -np.inf
+            low = least if n <= self.k else np.maximum(least, np.partition(all_scores, n - self.k, axis=1)[:, n - self.k])
+            at = np.flatnonzero((all_scores >= low[:, None]) & (all_scores > -np.inf))
+            score = all_scores.ravel()[at]
+        q, other = at // n, ids[at % n]
+        fine = (self.ids[q] != other) & ((score > least[q]) | ((score == least[q]) & (other < last[q])))
+        self.waiting.append((q[fine], score[fine], other[fine]))
+        if sum(len(w[0]) for w in self.waiting) * 2 > self.score.size or least.min() == -np.inf:
+            self.merge()
+
+    def rows(self) -> pa.RecordBatch:
+        self.merge()
+        at = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[at[0]]), pa.array(self.other[at]), pa.array(self.score[at])], names=["id", "other", "score"])
 
 
 def cosine_neighbours(df: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", queries: Column | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, other, score, rank): the k rows of highest cosine for each row where `queries` holds (all, if None), itself left out.
 
     Ties, to nine digits, go to the smaller ident. Rows with a null ident, a null, zero or non-finite vector or one of
-    another length than the longest take no part. Idents are whole numbers, each once. Blocks of rows meet blocks of
-    queries; a pair of blocks gives at most k rows for a query, so what is shuffled is the blocks and these lists.
+    another length than the longest take no part. Idents are whole numbers, each once. A task holds one group of queries with their
+    lists, and one part of the rows goes by: what is shuffled is each row once for a group of queries, each query once for a part of the
+    rows, and k rows for a query and part.
     """
+    element = np.float32 if df.schema[vector].dataType.simpleString() == "array<float>" else np.float64
     x = F.col(vector).cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = df.select(F.col(ident).cast("long").alias("id"), F.when(fine, x).alias("v"), (F.lit(True) if queries is None else queries).alias("q")).filter("id is not null and v is not null")
-    size = rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
+    rows = df.select(F.col(ident).cast("long").alias("id"), F.when(fine, F.col(vector) if element is np.float32 else x).alias("v"), (F.lit(True) if queries is None else queries).alias("q")).filter("id is not null and v is not null")
+    size = rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked")).first()
     dim = int(size["dim"] or 0)
-    rows = rows.filter((F.size("v") == dim) & (norm(F.col("v")) > 0))
-    blocks = _blocks(rows.select("id", "v"), dim, block_rows).select("ids", "x", F.monotonically_increasing_id().alias("block"))
-    asked = _blocks(rows.filter("q").select("id", "v"), dim, block_rows).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    # a block of queries goes once to each of `parts` groups of blocks
-    parts = max(1, ceil(size["n"] / block_rows / 4))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = asked.join(blocks.select("ids", "x", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part")), "part").select("q_ids", "q_x", "ids", "x")
+    rows = rows.filter((F.size("v") == dim) & (norm(F.col("v").cast("array<double>")) > 0))
+    # small tables are dealt out for the sake of the cores
+    groups = max(1, ceil(size["asked"] * dim / GROUP_SIZE), min(8, ceil(size["asked"] / BLOCK_ROWS)))
+    parts = max(1, min(PARTS, ceil(size["n"] / (8 * BLOCK_ROWS))))
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = (F.col("g") * parts + F.col("p")).alias("cell")
+    asked = _blocks(rows.filter("q").select("id", "v"), block_rows).withColumn("g", dealt(groups)).withColumn("p", each(parts)).select(cell, F.lit(0).alias("turn"), "ids", "x")
+    seen = _blocks(rows.select("id", "v"), block_rows).withColumn("p", dealt(parts)).withColumn("g", each(groups)).select(cell, F.lit(1).alias("turn"), "ids", "x")
+    met = asked.union(seen).repartition(groups * parts, "cell").sortWithinPartitions("cell", "turn")
+
+    def unit(blocks: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        v = np.frombuffer(b"".join(x for _, x in blocks), element).reshape(-1, dim).astype(np.float64)
+        return np.frombuffer(b"".join(i for i, _ in blocks), np.int64), v / np.sqrt((v * v).sum(axis=1))[:, None]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                q_ids, q, ids, v = (np.frombuffer(c[i].as_buffer(), t) for c, t in zip(b.columns, (np.int64, np.float64, np.int64, np.float64), strict=True))
-                score = np.round(q.reshape(-1, dim) @ v.reshape(-1, dim).T, DIGITS)
-                score[q_ids[:, None] == ids[None, :]] = -np.inf
-                n = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=-1)[:, :n]
-                top = np.take_along_axis(score, order, 1)
-                at = np.nonzero(top > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[0]]), pa.array(ids[order[at]]), pa.array(top[at])], names=["id", "other", "score"])
+        blocks = (r for b in batches for r in zip(b["cell"].to_pylist(), b["turn"].to_pylist(), b["ids"].to_pylist(), b["x"].to_pylist(), strict=True))
+        for _, of_cell in groupby(blocks, itemgetter(0)):
+            lists: list[_Lists] = []
+            waiting: list[tuple[bytes, bytes]] = []
+            full = {0: 8 * BLOCK_ROWS, 1: 8 * SEEN_ROWS}
+
+            def meet(turn: int, lists: list[_Lists] = lists, waiting: list[tuple[bytes, bytes]] = waiting) -> None:
+                if waiting:
+                    ids, v = unit(waiting)
+                    waiting.clear()
+                    if turn:
+                        for one in lists:
+                            one.see(ids, v)
+                    else:
+                        lists.extend(_Lists(ids[i : i + BLOCK_ROWS], v[i : i + BLOCK_ROWS], k) for i in range(0, len(ids), BLOCK_ROWS))
+
+            for turn, of_turn in groupby(of_cell, itemgetter(1)):
+                for _, _, ids, x in of_turn:
+                    if turn == 0 or lists:
+                        waiting.append((ids, x))
+                    if sum(len(i) for i, _ in waiting) >= full[turn]:
+                        meet(turn)
+                meet(turn)
+            yield from (one.rows() for one in lists)
 
     found = met.mapInArrow(best, "id long, other long, score double")
     by_score = Window.partitionBy("id").orderBy(F.desc("score"), "other")

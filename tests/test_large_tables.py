@@ -3,9 +3,11 @@
 import time
 from math import exp, lgamma
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from creatorlake.operators import special as Z
+from creatorlake.operators.neighbours import cosine_neighbours
 
 
 def test_fisher_p_of_millions_comes_back(spark):
@@ -22,3 +24,29 @@ def test_fisher_p_of_millions_comes_back(spark):
     top = max(weights)
     want = sum(exp(w - top) for w in weights if w <= weight(a) + 1e-7) / sum(exp(w - top) for w in weights)
     assert 0 < want < 1 and abs(got[0][0] - want) < 1e-7 and got[1][0] == 0
+
+
+def shuffled(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+
+def test_neighbours_shuffle_their_rows_and_lists_a_few_times(spark, tmp_path):
+    n, k, rng = 6_000, 20, np.random.default_rng(3)
+    v = rng.standard_normal((n, 64)).astype(np.float32)
+    # many equal rows: ties go to the smaller ident
+    v[: n // 4] = v[0]
+    spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "v"))
+    # as with tables that are too large to broadcast
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = shuffled(spark)
+    got = cosine_neighbours(spark.read.parquet(str(tmp_path / "v")), k, block_rows=64).toPandas().sort_values(["id", "rank"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    # every query went to each four of 94 blocks
+    assert shuffled(spark) - before < 20e6
+    u = v.astype(np.float64)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    score = np.round(u @ u.T, 9)
+    np.fill_diagonal(score, -np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(n), score.shape), -score), axis=-1)[:, :k]
+    assert (got.other.to_numpy().reshape(n, k) == want).all() and (got.score.to_numpy().reshape(n, k) == np.take_along_axis(score, want, 1)).all()
