@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from creatorlake.operators.nearest_text import two_nearest
+
 
 def upserted(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """base with the non-null fields of changes, and the rows that only changes has."""
@@ -108,8 +110,15 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def best_match(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, left_text: str, right_text: str) -> DataFrame:
-    """Each left row's most similar right row of the same block, and by how much it beats the second."""
-    scored = left.join(right, block).withColumn("similarity", edit_similarity(F.col(left_text), F.col(right_text)))
-    over = Window.partitionBy(left_id).orderBy(F.desc("similarity"), right_id)
-    ranked = scored.withColumn("__n", F.row_number().over(over)).withColumn("__next", F.lead("similarity").over(over)).filter("__n = 1")
-    return ranked.select(left_id, right_id, "similarity", (F.col("similarity") - F.coalesce("__next", F.lit(0.0))).alias("margin"))
+    """Each left row's most similar right row of the same block, and by how much it beats the second.
+
+    Right idents are whole numbers. Rows without a text are like no others: they match the smallest ident, without a similarity.
+    """
+    l = left.select(F.col(block).alias("block"), F.col(left_id).alias("__left"), F.col(left_text).alias("text"))
+    r = right.select(F.col(block).alias("block"), F.col(right_text).alias("text"), F.col(right_id).alias("other"))
+    found = l.join(two_nearest(l, r), ["block", "text"]).select("__left", "other", "similarity")
+    smallest = r.groupBy("block").agg(F.min("other").cast("long").alias("other"))
+    unlike = l.join(smallest, "block").select("__left", "other", F.lit(None).cast("double").alias("similarity"))
+    over = Window.partitionBy("__left").orderBy(F.desc("similarity"), "other")
+    ranked = found.union(unlike).withColumn("__n", F.row_number().over(over)).withColumn("__next", F.lead("similarity").over(over)).filter("__n = 1")
+    return ranked.select(F.col("__left").alias(left_id), F.col("other").cast(right.schema[right_id].dataType).alias(right_id), "similarity", (F.col("similarity") - F.coalesce("__next", F.lit(0.0))).alias("margin"))
