@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from creatorlake.operators.partitions import norm
 
 BLOCK_ROWS = 1024
-#: Queries of a group, by their components; a task holds one group with its lists.
-GROUP_SIZE = 2**22
-#: Rows are dealt to this many parts at most; rows of a part go by a group of queries in blocks of SEEN_ROWS.
-PARTS, SEEN_ROWS = 4, 2048
+#: Queries of a group, by the numbers of their vectors and lists; a task holds one group, and all rows go by in blocks of SEEN_ROWS.
+GROUP_SIZE, SEEN_ROWS = 2**24, 2048
+#: Small tables are dealt to this many groups for the sake of the cores.
+LEAST_GROUPS = 8
 #: Cosines are held to nine digits, so that equal ones tie.
 DIGITS = 9
 
@@ -81,33 +81,29 @@ class _Lists:
     def rows(self) -> pa.RecordBatch:
         self.merge()
         at = np.nonzero(self.score > -np.inf)
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[at[0]]), pa.array(self.other[at]), pa.array(self.score[at])], names=["id", "other", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[at[0]]), pa.array(self.other[at]), pa.array(self.score[at]), pa.array(at[1] + 1, pa.int32())], names=["id", "other", "score", "rank"])
 
 
 def cosine_neighbours(df: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", queries: Column | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, other, score, rank): the k rows of highest cosine for each row where `queries` holds (all, if None), itself left out.
 
     Ties, to nine digits, go to the smaller ident. Rows with a null ident, a null, zero or non-finite vector or one of
-    another length than the longest take no part. Idents are whole numbers, each once. A task holds one group of queries with their
-    lists, and one part of the rows goes by: what is shuffled is each row once for a group of queries, each query once for a part of the
-    rows, and k rows for a query and part.
+    another length than the longest take no part. Idents are whole numbers. A task holds one group of queries with their
+    lists, and all rows go by: what is shuffled is each query once and each row once for a group.
     """
     element = np.float32 if df.schema[vector].dataType.simpleString() == "array<float>" else np.float64
     x = F.col(vector).cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = df.select(F.col(ident).cast("long").alias("id"), F.when(fine, F.col(vector) if element is np.float32 else x).alias("v"), (F.lit(True) if queries is None else queries).alias("q")).filter("id is not null and v is not null")
-    size = rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked")).first()
+    size = rows.agg(F.max(F.size("v")).alias("dim"), F.count_if("q").alias("asked"), (F.count_distinct("id") < F.count("id")).alias("repeated")).first()
     dim = int(size["dim"] or 0)
     rows = rows.filter((F.size("v") == dim) & (norm(F.col("v").cast("array<double>")) > 0))
-    # small tables are dealt out for the sake of the cores
-    groups = max(1, ceil(size["asked"] * dim / GROUP_SIZE), min(8, ceil(size["asked"] / BLOCK_ROWS)))
-    parts = max(1, min(PARTS, ceil(size["n"] / (8 * BLOCK_ROWS))))
-    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cell = (F.col("g") * parts + F.col("p")).alias("cell")
-    asked = _blocks(rows.filter("q").select("id", "v"), block_rows).withColumn("g", dealt(groups)).withColumn("p", each(parts)).select(cell, F.lit(0).alias("turn"), "ids", "x")
-    seen = _blocks(rows.select("id", "v"), block_rows).withColumn("p", dealt(parts)).withColumn("g", each(groups)).select(cell, F.lit(1).alias("turn"), "ids", "x")
-    met = asked.union(seen).repartition(groups * parts, "cell").sortWithinPartitions("cell", "turn")
+    groups = max(1, ceil(size["asked"] * (dim + 2 * k) / GROUP_SIZE), min(LEAST_GROUPS, ceil(size["asked"] / BLOCK_ROWS)))
+    # blocks in turn, from another group on in each partition
+    turn = F.shiftright("block", 33) * 7919 + F.col("block").bitwiseAND(F.lit(2**33 - 1))
+    asked = _blocks(rows.filter("q").select("id", "v"), block_rows).select(F.pmod(turn, F.lit(groups)).cast("int").alias("cell"), F.lit(0).alias("turn"), "ids", "x")
+    seen = _blocks(rows.select("id", "v"), block_rows).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cell"), F.lit(1).alias("turn"), "ids", "x")
+    met = asked.union(seen).repartitionById(groups, "cell").sortWithinPartitions("cell", "turn")
 
     def unit(blocks: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         v = np.frombuffer(b"".join(x for _, x in blocks), element).reshape(-1, dim).astype(np.float64)
@@ -139,7 +135,10 @@ def cosine_neighbours(df: DataFrame, k: int, ident: str = "vec_id", vector: str
                 meet(turn)
             yield from (one.rows() for one in lists)
 
-    found = met.mapInArrow(best, "id long, other long, score double")
+    found = met.mapInArrow(best, "id long, other long, score double, rank int")
+    if not size["repeated"]:
+        return found
+    # rows that share an ident share a list
     by_score = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
 
